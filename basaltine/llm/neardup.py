@@ -265,6 +265,23 @@ def groups(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that lead their group, columns unchanged.
+
+    The ids to drop are the smaller side; repeated rows of a kept id are
+    one document, of which one row stays.
+    """
+    found = groups(documents)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    rest = documents.join(gone, "doc_id", "left_anti")
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = stored(again, "repeated")
+    if again.isEmpty():
+        return rest.select(*documents.columns)
+    once = documents.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(once.select(*documents.columns))
+
+
 def similar_pairs(documents: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between representatives that give the components of all links."""
     stars = star_pairs(listed(reps, rarity(reps)))
