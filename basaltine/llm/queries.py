@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, mixing, neardup, sharding, substrings, topk, toxicity
+from . import decontaminate, mixing, neardup, pii, sharding, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
+    "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
