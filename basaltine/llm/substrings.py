@@ -46,8 +46,8 @@ from .textkit import mix, slices, span_hashes, stored
 
 LENGTH = 50
 GRAM = 24
-CHUNK = 2 << 20
-BUCKET = 16 << 20
+CHUNK = 1 << 20
+BUCKET = 4 << 20
 _LAST = np.iinfo(np.int64).max
 _CODEC = "zstd"
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
