@@ -86,7 +86,8 @@ def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (trigger[1:] != trigger[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(fresh)
-    return starts[first], np.diff(np.append(first, len(starts))), h[trigger[first]]
+    # Minima are small; mixed again they spread over all buckets.
+    return starts[first], np.diff(np.append(first, len(starts))), mix(h[trigger[first]] + _MULT[0])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
