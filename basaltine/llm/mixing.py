@@ -69,10 +69,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.select("no_source", "src", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
-def copies(documents: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, size, source, source_size, target and copies of every document."""
+def copies(documents: DataFrame, ranges: int | None = None, whole: bool = False) -> DataFrame:
+    """doc_id, size, source, source_size, target and copies of every document, and with ``whole`` the row itself."""
+    row = [F.struct(*documents.columns).alias("row")] if whole else []
     rows = documents.select(
-        "doc_id", "source", words(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"),
+        *row, "doc_id", "source", words(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"),
         _unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("unit"),
     )
     if ranges is None:
@@ -98,7 +99,7 @@ def copies(documents: DataFrame, ranges: int | None = None) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*group).orderBy("unit", "doc_id"))
     rank = F.col("before") + F.col("place")
     crossed = F.floor(rank * F.col("f") + F.col("offset")) - F.floor((rank - 1) * F.col("f") + F.col("offset"))
-    return rows.withColumn("place", place).join(start, group).select("doc_id", "size", "source", "source_size", "target", crossed.cast("long").alias("copies"))
+    return rows.withColumn("place", place).join(start, group).select("doc_id", "size", "source", "source_size", "target", crossed.cast("long").alias("copies"), *(["row"] if whole else []))
 
 
 def mix(documents: DataFrame) -> DataFrame:
@@ -107,12 +108,12 @@ def mix(documents: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, columns unchanged."""
-    taken = copies(documents).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    # Rows that share id, size and source share their copies, one list for all of them.
-    lists = taken.groupBy("_id", "_size", "_source").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows"))
-    one = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (words(F.col("text")) == F.col("_size"))
-    return documents.join(lists, one).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
+    """The mix itself: every document as often as it is taken, columns unchanged.
+
+    Rows move once, to their range, and are repeated where they are ranked.
+    """
+    taken = copies(documents, whole=True).where("copies > 0")
+    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE = """
