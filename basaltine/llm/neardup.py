@@ -82,6 +82,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([v[:K].tobytes() for v in every], pa.binary())], names)
 
 
+def sketched(documents: DataFrame) -> DataFrame:
+    """doc_id, set size n, fingerprint (fa, fb) and sketch of every document."""
+    return documents.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {dict(documents.dtypes)['doc_id']}, n long, fa long, fb long, sketch binary")
+
+
 def _counter(v: np.ndarray) -> np.ndarray:
     return (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)
 
@@ -181,25 +186,26 @@ def bit_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, hashes) of the documents among ``ids``.
+def packed_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, text) of the documents among ``ids``, compressed; a few others may come along.
 
-    A fixed-size bit filter keeps most other documents from being hashed; the
-    join removes those it let through.
+    A fixed-size bit filter keeps most other documents out of the shuffle; the
+    joins that follow look up ids, so those that it lets through do no harm.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(bit_filter(ids).view(np.uint8), bitorder="little"), bitorder="little"))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(ids).view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             at = batch.column("at").to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            for lo, hi, data, off in slices(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(lo, hi - lo), pa.array([v.tobytes() for v in sets(data, off)], pa.binary())], ["doc", "hashes"])
+            blobs = [pa.compress(t.as_buffer() or b"", codec="zstd", asbytes=True) for t in batch.column("text").fill_null("")]
+            sizes = pa.array([t.as_buffer().size for t in batch.column("text").fill_null("")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), sizes, pa.array(blobs, pa.binary())], ["doc", "size", "text"])
 
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)))
-    return rows.mapInArrow(run, "doc long, hashes binary").join(ids, "doc", "left_semi").distinct()
+    return rows.mapInArrow(run, "doc long, size long, text binary").distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -220,16 +226,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)  # noqa: E731  no copy
+    last: dict[str, tuple[int, bytes, np.ndarray]] = {}
+
+    def unpacked(side: str, doc: int, size: int, blob: bytes) -> np.ndarray:
+        seen = last.get(side)
+        if seen is None or seen[0] != doc or seen[1] != blob:
+            data = np.frombuffer(pa.decompress(blob, size, codec="zstd", asbytes=True), np.uint8)
+            last[side] = doc, blob, sets(data, np.array([0, size]))[0]
+        return last[side][2]
+
     for batch in batches:
-        keep = [similar(view(x), view(y)) for x, y in zip(batch.column("ha"), batch.column("hb"))]
+        cols = [batch.column(c).to_pylist() for c in ("a", "sa", "ta", "b", "sb", "tb")]
+        keep = [similar(unpacked("a", a, sa, ta), unpacked("b", b, sb, tb)) for a, sa, ta, b, sb, tb in zip(*cols)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
-    both = pairs.join(hashes.select(F.col("doc").alias("a"), F.col("hashes").alias("ha")), "a").join(hashes.select(F.col("doc").alias("b"), F.col("hashes").alias("hb")), "b")
-    return both.select("a", "b", "ha", "hb").mapInArrow(_verify, "a long, b long")
+    side = lambda x: texts.select(F.col("doc").alias(x), F.col("size").alias(f"s{x}"), F.col("text").alias(f"t{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "sa", "ta", "b", "sb", "tb").mapInArrow(_verify, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,9 +267,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``documents``."""
-    kind = dict(documents.dtypes)["doc_id"]
-    rows = stored(documents.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {kind}, n long, fa long, fb long, sketch binary"), "sketches")
-    one = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc"), "sketch")).alias("r"))
+    every = sketched(documents)
+    # Sketches are made again for the representatives rather than kept for all.
+    rows = stored(every.drop("sketch"), "fingerprints")
+    one = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc"), "sketch")).alias("r"))
     reps = stored(one.select("fa", "fb", "n", "r.doc", "r.sketch"), "representatives")
     links = similar_pairs(documents, reps)
     # Rows of one id are one document: their representatives are linked.
@@ -287,8 +304,8 @@ def similar_pairs(documents: DataFrame, reps: DataFrame) -> DataFrame:
     stars = star_pairs(listed(reps, rarity(reps)))
     pairs = stored(stars.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
-    hashes = stored(full_sets(documents, ids), "sets")
-    first = stored(verified(pairs, hashes), "links")
+    texts = stored(packed_texts(documents, ids), "texts")
+    first = stored(verified(pairs, texts), "links")
     # Members of one list that are still apart.
     part = components(first)
     member = stars.select("value", F.col("head").alias("doc")).unionByName(stars.select("value", "doc")).distinct()
@@ -298,5 +315,5 @@ def similar_pairs(documents: DataFrame, reps: DataFrame) -> DataFrame:
     x, y = (left.select("value", F.col("doc").alias(d), F.col("component").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
     more = x.join(y, "value").where("a < b AND ca <> cb").select("a", "b").distinct()
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stored(verified(more.join(seen, ["a", "b"], "left_anti"), hashes), "links")
+    second = stored(verified(more.join(seen, ["a", "b"], "left_anti"), texts), "links")
     return first.unionByName(second)

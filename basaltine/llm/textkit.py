@@ -9,6 +9,7 @@ longest document, never by the partition.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
+ARROW_BYTES = 8 << 20
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -162,14 +164,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
-    This cuts lineage durably: the files outlive any executor.
+    This cuts lineage durably: the files outlive any executor.  Meanwhile Arrow
+    batches are held to ARROW_BYTES, as several of them stand in memory at once
+    on both sides of a Python worker.
     """
-    import uuid
-
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, ARROW_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.parquet(path)
