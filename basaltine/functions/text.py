@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -15,7 +16,7 @@ def tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def normal_text(value: pd.Series) -> pd.Series:
     """Compatibility-composed, case folded, non-word characters as single spaces.
 

@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Hosts and paths that are never visited.
@@ -20,7 +21,7 @@ ITEM_PATHS = ("/msg/", "/item/", "/listing/")
 SHOP_PATHS = ("/product", "/produk", "/katalog", "/shop", "/veikal")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def normal_url(url: pd.Series) -> pd.Series:
     """Comparable form of a web address, '' for other schemes.
 
@@ -49,7 +50,7 @@ def normal_url(url: pd.Series) -> pd.Series:
     return url.fillna("").map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link as seen from its page."""
 
@@ -72,7 +73,7 @@ def host_key(url_or_host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(host, F.lit("")), r"^\.+|\.+$", ""), r"^www\.", "")
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def public_address(host: pd.Series) -> pd.Series:
     """False for literal addresses that are not public, true for all else."""
 

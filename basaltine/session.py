@@ -29,3 +29,11 @@ def ship(spark: SparkSession) -> None:
         for path in root.rglob("*.py"):
             archive.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(name)
+
+
+def checkpointed(df):
+    """A frame whose lineage ends in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "basaltine-checkpoints"))
+    return df.checkpoint()
