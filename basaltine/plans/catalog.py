@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import changes, evidence, memory, ranking
+from ..operators import changes, evidence, memory, ranking, registry, resolution, store
+from ..sources import web
 from .views import PROJECT, table, with_views
 
 AS_OF = datetime(2024, 2, 20, tzinfo=timezone.utc)
@@ -317,3 +318,77 @@ FROM (SELECT doc_id, lower(text) AS h FROM documents)""")
 def keyword_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     rows = ranking.fallback_enrichment(table(spark, sf, "documents").select("doc_id", "text"), F.col("text"), ["tion", "ment"], ["lich"], 0.2)
     return rows.select("doc_id", "positive_hits", "negative_hits", "is_relevant")
+
+
+def _entities(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "entities").withColumn("ord", F.col("n"))
+
+
+@query()
+def resolution_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return resolution.assign_clusters(_entities(spark, sf))
+
+
+@query("""
+WITH i AS (SELECT n AS ord, entity_key, source_domain, regexp_replace(lower(brand), '[^a-z0-9]+', ' ', 'g') || '|' || regexp_replace(upper(model), '[^0-9A-Z]', '', 'g') AS mm,
+  CASE WHEN sku <> '' THEN source_domain || '|' || sku END AS ls FROM entities)
+SELECT kind, key, count(*) AS n FROM (SELECT 'maker_model_exact' AS kind, 'product|' || mm AS key FROM i UNION ALL SELECT 'source_sku_exact', 'product|' || ls FROM i WHERE ls IS NOT NULL) GROUP BY kind, key""", "entities")
+def identity_keys(spark: SparkSession, sf: str) -> DataFrame:
+    keys = resolution.strong_keys(resolution.identities(_entities(spark, sf)))
+    return keys.groupBy("kind", "key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT cluster_key, count(*) AS members, count(DISTINCT source_domain) AS sources FROM entity_cluster_members LEFT JOIN entities USING (entity_key) GROUP BY cluster_key", "entity_cluster_members", "entities")
+def cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return resolution.cluster_summary(table(spark, sf, "entity_cluster_members"), table(spark, sf, "entities"))
+
+
+@query("SELECT entity_key, count(*) OVER (ORDER BY n, entity_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS compared FROM entities", "entities")
+def compared_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return resolution.compared_entities(_entities(spark, sf))
+
+
+@query("""SELECT entity_key, CASE WHEN contains(t, 'red') AND contains(t, 'widget') THEN 'confirmed' WHEN contains(t, 'widget') THEN 'uncertain' ELSE 'rejected' END AS target_status
+FROM (SELECT entity_key, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')) AS t FROM entities)""".replace("contains(t,", "list_contains(t,"), "entities")
+def target_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return resolution.target_gate(table(spark, sf, "entities"), F.col("title"), ["red", "widget"], ["widget"]).select("entity_key", "target_status")
+
+
+@query("""
+WITH c AS (SELECT id AS place, target_url AS url, target_domain AS domain, relevance_score AS score FROM domain_discoveries WHERE run_id = 7),
+e AS (SELECT c.*, CASE WHEN d.status = 'active' THEN 'known' WHEN d.status IN ('blocked', 'rejected') THEN 'blocked' WHEN score < 0.3 THEN 'recorded' END AS early FROM c LEFT JOIN domains d USING (domain)),
+t AS (SELECT domain, min(place) AS first, row_number() OVER (ORDER BY min(place)) AS turn FROM e WHERE early IS NULL GROUP BY domain)
+SELECT place, e.domain, coalesce(early, CASE WHEN first IS NULL THEN 'recorded' WHEN first = place THEN 'activated' ELSE 'known' END) AS action
+FROM e LEFT JOIN (SELECT * FROM t WHERE turn <= 20) t USING (domain)""", "domain_discoveries", "domains")
+def registry_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "domain_discoveries").where("run_id = 7").select(F.col("id").alias("place"), F.col("target_url").alias("url"), F.col("relevance_score").alias("score"), F.lit(1).alias("depth"))
+    return registry.decide(found, table(spark, sf, "domains"), registry.Policy()).select("place", "domain", "action")
+
+
+@query("""
+WITH n AS (SELECT target_domain AS domain, count(*) AS pages_seen, max(relevance_score) AS relevance_score, CASE WHEN bool_or(action = 'activated') THEN 'active' ELSE 'candidate' END AS status FROM domain_discoveries WHERE run_id = 8 GROUP BY target_domain)
+SELECT coalesce(d.domain, n.domain) AS domain, CASE WHEN n.domain IS NULL THEN d.status WHEN d.domain IS NULL THEN n.status WHEN d.status = 'blocked' THEN 'blocked' WHEN d.status = 'rejected' AND n.status <> 'active' THEN 'rejected'
+    WHEN d.status = 'active' AND n.status = 'candidate' THEN 'active' ELSE n.status END AS status,
+  coalesce(d.pages_seen, 0) + coalesce(n.pages_seen, 0) AS pages_seen, greatest(d.relevance_score, n.relevance_score) AS relevance_score
+FROM domains d FULL JOIN n ON d.domain = n.domain""", "domains", "domain_discoveries")
+def save_domains(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "domains").select("project_id", "domain", "status", "pages_seen", "relevance_score")
+    rows = table(spark, sf, "domain_discoveries").where("run_id = 8").groupBy("project_id", F.col("target_domain").alias("domain"))
+    new = rows.agg(F.when(F.bool_or(F.col("action") == "activated"), "active").otherwise("candidate").alias("status"), F.count("*").alias("pages_seen"), F.max("relevance_score").alias("relevance_score"))
+    return store.save_domains(old, new).drop("project_id")
+
+
+@query("SELECT run_id, id, row_number() OVER (PARTITION BY run_id ORDER BY id) AS sequence FROM domain_discoveries", "domain_discoveries")
+def adaptive_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    return store.numbered(table(spark, sf, "domain_discoveries").select("run_id", "id"), "run_id", "id").withColumn("sequence", F.col("sequence").cast("long"))
+
+
+@query("""SELECT domain, count(*) AS visits, any_value(status) AS status FROM page_visits LEFT JOIN (SELECT domain, status FROM domains) d USING (domain) WHERE domain = 'd5.example' GROUP BY domain""".replace("domain = 'd5.example'", "page_visits.domain = 'd5.example'"), "page_visits", "domains")
+def explain_domain(spark: SparkSession, sf: str) -> DataFrame:
+    one = memory.source_profiles(*[table(spark, sf, n) for n in _PROFILES], PROJECT, limit=None, as_of=AS_OF, domain="d5.example")
+    return one.select("domain", F.col("visit_count").alias("visits"), "status")
+
+
+@query()
+def page_products(spark: SparkSession, sf: str) -> DataFrame:
+    return web.products(table(spark, sf, "pages"))
