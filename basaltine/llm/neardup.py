@@ -12,7 +12,8 @@ shingle).  Its sketch is the ``K`` smallest of them.
    are common to many documents have none.  Rarity comes from a fixed number of
    counters; any fixed order of values is right, this one keeps lists short.
 3. In each list every member is compared with the list's first one; members
-   that this leaves in different components are then compared with each other.
+   that this leaves in different components are then compared with each other,
+   in cells of two blocks of documents.
 4. Pairs pass the union-sketch estimate, then the exact test on full sets,
    100 * intersection >= 75 * union.
 5. Components come from alternating star contractions.
@@ -45,7 +46,8 @@ SIZE = 5
 PERCENT = 75
 K = 128
 SHARED = 64
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+BLOCK = 64
 FILTER_BITS = 26
 
 
@@ -88,7 +90,7 @@ def sketched(documents: DataFrame) -> DataFrame:
 
 
 def _counter(v: np.ndarray) -> np.ndarray:
-    return (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)
+    return (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 22)
 
 
 _PARTS = 64
@@ -110,7 +112,7 @@ def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def rarity(reps: DataFrame) -> np.ndarray:
-    """For each counter, the bit length of how often values that fall on it are retained: 1 MB."""
+    """For each counter, the bit length of how often values that fall on it are retained: 4 MB."""
     tasks = max(1, min(64, reps.rdd.getNumPartitions()))
     rows = reps.select("sketch").coalesce(tasks).mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_add_up, "part int, counts binary").collect()
     return np.concatenate([np.frombuffer(bytes(r["counts"]), np.uint8) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(COUNTERS, np.uint8)
@@ -306,14 +308,76 @@ def similar_pairs(documents: DataFrame, reps: DataFrame) -> DataFrame:
     ids = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
     texts = stored(packed_texts(documents, ids), "texts")
     first = stored(verified(pairs, texts), "links")
-    # Members of one list that are still apart.
-    part = components(first)
-    member = stars.select("value", F.col("head").alias("doc")).unionByName(stars.select("value", "doc")).distinct()
-    named = member.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    return first.unionByName(stored(links_apart(stars, first, texts), "links"))
+
+
+def links_apart(stars: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of one list that the links so far leave in different components.
+
+    Members are put into blocks of about ``BLOCK`` by the list head that they
+    share most often.  A cell is two blocks that meet in some list; it brings
+    their texts together once, and compares the members of common lists there,
+    so pairs are never rows.
+    """
+    part = components(links)
+    heads = stars.unionByName(stars.select("value", "head", F.col("head").alias("doc"))).distinct()
+    named = heads.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     apart = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     left = stored(named.join(apart, "value"), "apart")
-    x, y = (left.select("value", F.col("doc").alias(d), F.col("component").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
-    more = x.join(y, "value").where("a < b AND ca <> cb").select("a", "b").distinct()
-    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stored(verified(more.join(seen, ["a", "b"], "left_anti"), texts), "links")
-    return first.unionByName(second)
+    home = left.groupBy("doc", "component", "head").agg(F.count("*").alias("n")).groupBy("doc", "component").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
+    blocks = home.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = stored(home.join(blocks, "head").select("doc", "component", F.xxhash64("head", F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("block")), "blocks")
+    met = left.select("value", "doc").distinct().join(placed.select("doc", "block"), "doc").select("value", "block").distinct()
+    x, y = met.withColumnRenamed("block", "b1"), met.withColumnRenamed("block", "b2")
+    cells = x.join(y, "value").where("b1 <= b2").select("b1", "b2").distinct()
+    sides = cells.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+    values = left.groupBy("doc").agg(F.collect_set("value").alias("values"))  # at most K
+    rows = placed.join(values, "doc").join(texts, "doc")
+    dealt = sides.join(rows, "block").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    return dealt.select("b1", "b2", "block", "doc", "component", "values", "size", "text").mapInArrow(_cells, "a long, b long")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, rows = None, []
+
+    def compared() -> Iterator[tuple[int, int]]:
+        full: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def of(k: int) -> np.ndarray:
+            if k not in full:
+                size, blob = rows[k][4], rows[k][5]
+                full[k] = sets(np.frombuffer(pa.decompress(blob, size, codec="zstd", asbytes=True), np.uint8), np.array([0, size]))[0]
+            return full[k]
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        index: dict[int, list[int]] = {}
+        for k, (block, _, _, values, _, _) in enumerate(rows):
+            others = {o for v in values for o in index.get(v, ())}
+            for v in values:
+                index.setdefault(v, []).append(k)
+            for o in others:
+                if key[0] != key[1] and rows[o][0] == block:
+                    continue  # their own cell compares them
+                x, y = find(rows[o][2]), find(rows[k][2])
+                if x != y and similar(of(o), of(k)):
+                    root[max(x, y)] = min(x, y)
+                    yield rows[o][1], rows[k][1]
+
+    out: list[tuple[int, int]] = []
+    for batch in batches:
+        for b1, b2, *row in zip(*[batch.column(c).to_pylist() for c in ("b1", "b2", "block", "doc", "component", "values", "size", "text")]):
+            if (b1, b2) != key:
+                out += compared() if rows else ()
+                key, rows = (b1, b2), []
+            rows.append(row)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            out = []
+    out += compared() if rows else ()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
