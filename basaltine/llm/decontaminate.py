@@ -169,10 +169,10 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BL
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for lo, _, data, off in slices(batch.column("text")):
-                    keep[[lo + hit[0] for hit in shared.value.hits(*tokens(data, off))]] = False
-                yield batch.filter(pa.array(keep))
+                for lo, hi, data, off in slices(batch.column("text")):
+                    keep = np.ones(hi - lo, bool)
+                    keep[[hit[0] for hit in shared.value.hits(*tokens(data, off))]] = False
+                    yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents

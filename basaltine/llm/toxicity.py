@@ -171,11 +171,9 @@ def keep_clean(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
         weights = shared.value[:-1].astype(np.float64)
         bias = float(shared.value[-1])
         for batch in batches:
-            keep = []
             for lo, hi, data, off in slices(batch.column("text"), rows=_DOCS):
                 keys, _ = gram_cells(data, off)
                 z = np.bincount((keys >> np.uint32(BITS)).astype(np.int64), weights=weights[keys & np.uint32((1 << BITS) - 1)], minlength=hi - lo) + bias
-                keep.append(z < 0)
-            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+                yield batch.slice(lo, hi - lo).filter(pa.array(z < 0))
 
     return documents.mapInArrow(run, documents.schema)
