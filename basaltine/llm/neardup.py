@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, mix, shingle_hashes, slices, span_hashes, stored, word_bounds
+from .textkit import LOWER, discard, mix, shingle_hashes, slices, span_hashes, stored, word_bounds
 
 SIZE = 5
 PERCENT = 75
@@ -273,8 +273,9 @@ def groups(documents: DataFrame) -> DataFrame:
     # Sketches are made again for the representatives rather than kept for all.
     rows = stored(every.drop("sketch"), "fingerprints")
     one = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc"), "sketch")).alias("r"))
-    reps = stored(one.select("fa", "fb", "n", "r.doc", "r.sketch"), "representatives")
-    links = similar_pairs(documents, reps)
+    sketches = stored(one.select("fa", "fb", "n", "r.doc", "r.sketch"), "representatives")
+    reps = stored(sketches.drop("sketch"), "representatives")
+    links = similar_pairs(documents, sketches)
     # Rows of one id are one document: their representatives are linked.
     ids = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "fa", "fb", "n").join(reps.select("fa", "fb", "n", "doc"), ["fa", "fb", "n"])
     same = ids.where("doc_id <> doc").select(F.col("doc_id").cast("long").alias("a"), F.col("doc").alias("b"))
@@ -290,25 +291,54 @@ def keep_one(documents: DataFrame) -> DataFrame:
     The ids to drop are the smaller side; repeated rows of a kept id are
     one document, of which one row stays.
     """
-    found = groups(documents)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    rest = documents.join(gone, "doc_id", "left_anti")
-    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = stored(again, "repeated")
-    if again.isEmpty():
-        return rest.select(*documents.columns)
-    once = documents.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(once.select(*documents.columns))
+    found = stored(groups(documents), "groups")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").cast("long").alias("doc")).distinct()
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").cast("long").alias("doc"))
+    ids = stored(gone.withColumn("keep", F.lit(False)).unionByName(again.withColumn("keep", F.lit(True))), "decided")
+    maybe, others = _split(documents, ids)
+    judged = maybe.join(ids.select(F.col("doc").alias("__doc"), F.col("keep").alias("__keep")), F.col("doc_id") == F.col("__doc"), "left")
+    single = judged.where("__keep IS NULL").select(*documents.columns)
+    out = others.unionByName(single)
+    if ids.where("keep").isEmpty():
+        return out
+    once = judged.where("__keep").select(*documents.columns).dropDuplicates(["doc_id"])
+    return out.unionByName(once)
+
+
+def _split(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be among ``ids``, and all others, by a filter of fixed size; only the former need a join."""
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(ids.select("doc")).view(np.uint8))
+    rows = documents.withColumn("__at", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS))))
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("__at").fill_null(0).to_numpy()
+                none = batch.column("__at").is_null().to_numpy(zero_copy_only=False)
+                hit = ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) & ~none
+                kept = batch.drop_columns(["__at"]).filter(pa.array(hit == wanted))
+                if kept.num_rows:
+                    yield kept
+
+        return run
+
+    return tuple(rows.mapInArrow(side(w), documents.schema) for w in (True, False))
 
 
 def similar_pairs(documents: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives that give the components of all links."""
+    """Links (a, b) between representatives that give the components of all links.
+
+    ``reps`` (stored, with sketches) is deleted once its lists are made.
+    """
     stars = star_pairs(listed(reps, rarity(reps)))
+    discard(reps)
     pairs = stored(stars.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
     texts = stored(packed_texts(documents, ids), "texts")
     first = stored(verified(pairs, texts), "links")
-    return first.unionByName(stored(links_apart(stars, first, texts), "links"))
+    second = stored(links_apart(stars, first, texts), "links")
+    discard(texts)
+    return first.unionByName(second)
 
 
 def links_apart(stars: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:

@@ -183,3 +183,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of stored frames that nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
