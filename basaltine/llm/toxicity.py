@@ -29,6 +29,7 @@ GRAMS = (3, 4, 5)
 #: Largest number of labelled rows that the model is fitted on.
 FIT_ROWS = 6000
 ITERATIONS = 50
+FIT_BLOCK = 200
 _DOCS = 1 << (32 - BITS)
 _FOLD = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0xD800)] + list(range(0xD800, 0x10000)), np.uint32)
 
@@ -70,19 +71,34 @@ def fit(cells: list[np.ndarray], toxic: np.ndarray, rounds: int = ITERATIONS) ->
     if ones == 0 or zeros == 0:
         bias = np.log((ones + 0.5) / (zeros + 0.5)) if len(toxic) else -np.inf
         return np.concatenate([np.zeros(size), [bias]]).astype(np.float32)
-    flat = np.concatenate(cells).astype(np.int32)
-    ends = np.cumsum([len(c) for c in cells])
-    doc = np.repeat(np.arange(len(cells), dtype=np.int32), [len(c) for c in cells])
-    p = np.bincount(flat, weights=toxic[doc], minlength=size) + 1
-    q = np.bincount(flat, weights=1 - toxic[doc], minlength=size) + 1
+    # Blocks of documents, so that one block's values are in memory besides the cells.
+    blocks = [(lo, np.concatenate(cells[lo : lo + FIT_BLOCK]).astype(np.int32), np.array([len(c) for c in cells[lo : lo + FIT_BLOCK]])) for lo in range(0, len(cells), FIT_BLOCK)]
+    cells.clear()
+
+    def spread(by_doc: np.ndarray) -> np.ndarray:
+        """Sum over each cell of a value of the documents that have it."""
+        total = np.zeros(size)
+        for lo, flat, length in blocks:
+            total += np.bincount(flat, weights=np.repeat(by_doc[lo : lo + len(length)], length), minlength=size)
+        return total
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        """Sum over each document's cells of their weights."""
+        out = []
+        for _, flat, length in blocks:
+            run = np.concatenate([[0.0], np.cumsum(weights[flat])])
+            end = np.cumsum(length)
+            out.append(run[end] - run[end - length])
+        return np.concatenate(out)
+
+    p, q = spread(toxic) + 1, spread(1 - toxic) + 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     w, bias = np.zeros(size), np.log(ones / zeros)
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        run = np.concatenate([[0.0], np.cumsum((w * ratio)[flat])])
-        z = run[ends] - run[np.concatenate([[0], ends[:-1]])] + bias
+        z = sums(w * ratio) + bias
         g = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - toxic
-        gw = (np.bincount(flat, weights=g[doc], minlength=size) * ratio + w) / len(toxic)
+        gw = (spread(g) * ratio + w) / len(toxic)
         gb = g.mean()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
