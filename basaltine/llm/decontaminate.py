@@ -4,9 +4,10 @@ Texts become tokens: runs of letters, digits and non-ASCII bytes, A-Z lowered.
 Each mask of ``MASKS`` looks at some positions of a token window and ignores
 the others, so a substituted token hides from the masks that skip it.  Hashes
 of test windows are looked up for every training window; each hit fixes an
-alignment of item and document, along which the best segment is found where at
-least three of four tokens agree.  A document is contaminated by an item if
-that segment agrees in min(12, three quarters of the item) tokens.
+alignment of item and document, along which that segment is found that agrees in
+most tokens among those where at least three of four agree.  A document is
+contaminated by an item if that segment agrees in min(12, three quarters of the
+item) tokens.
 
 The test side is broadcast in blocks: one block holds about ``BLOCK_BYTES`` of
 item text, and a larger benchmark takes several passes over the documents.
@@ -117,11 +118,16 @@ class Block:
     def _segment(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
         lo, hi = max(0, -shift), min(len(item), len(text) - shift)
         same = text[lo + shift : hi + shift] == item[lo:hi]
+        # Most agreeing tokens over all segments whose sum of +1 and -3 is not negative:
+        # for each end, the first begin whose prefix is no higher.
         run = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-        floor = np.minimum.accumulate(run)
-        end = int(np.argmax(run - floor))
-        begin = int(np.argmax(run[: end + 1] == floor[end]))
-        agree = int(same[begin:end].sum())
+        total = np.concatenate([[0], np.cumsum(same)])
+        begins = np.searchsorted(-np.minimum.accumulate(run), -run)
+        end = int(np.argmax(total - total[begins]))
+        begin = int(begins[end])
+        agree = int(total[end] - total[begin])
+        if agree:
+            begin += int(np.argmax(same[begin:end]))  # the end agrees, being the first of its total
         need = len(item) if len(item) < max(map(len, MASKS)) else min(NEED, -(-3 * len(item) // 4))
         return (agree, end - begin, lo + shift + begin) if agree >= need else None
 

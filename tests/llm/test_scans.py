@@ -33,6 +33,39 @@ def test_contaminated(spark, odd, none):
     assert decontaminate.keep_clean(odd, b).columns == odd.columns
 
 
+def _most(same):
+    """Most agreeing places of any segment where at least three of four agree."""
+    n = len(same)
+    return max((sum(same[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 4 * sum(same[a:b]) >= 3 * (b - a)), default=0)
+
+
+def test_segment_against_brute_force():
+    rnd = random.Random(6)
+    replaced = [(15, {11}), (18, {2, 14}), (20, {4, 8, 12, 16})] + [(n, {p}) for n in range(10, 21) for p in range(n)]
+    replaced += [(n, set(range(first, n, 4))) for n in range(10, 41) for first in range(4)]
+    replaced += [(n, set(rnd.sample(range(n), k))) for n in range(10, 41) for k in range(1, n // 2) for _ in range(4)]
+    for n, places in replaced:
+        item = np.arange(1, n + 1).astype(np.uint64)
+        text = np.array([0] * 5 + [0 if p in places else p + 1 for p in range(n)] + [0] * 5, np.uint64)
+        most, need = _most([p not in places for p in range(n)]), min(12, -(-3 * n // 4))
+        got = decontaminate.Block._segment(text, item, 5)
+        assert (got is not None) == (most >= need), (n, places)
+        if got:
+            agree, length, start = got
+            inside = [p not in places for p in range(start - 5, start - 5 + length)]
+            assert agree == most == sum(inside) and 4 * agree >= 3 * length and inside[0] and inside[-1]
+
+
+def test_spread_substitutions_are_found():
+    word = lambda k: f"word{k}"
+    for n, places in ((15, {11}), (18, {2, 14}), (20, {4, 8, 12, 16})):
+        block = decontaminate.Block([1], [" ".join(map(word, range(n)))])
+        text = "some prose " + " ".join("other" if p in places else word(p) for p in range(n)) + " and more of it"
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = block.hits(*decontaminate.tokens(data, np.array([0, len(data)])))
+        assert [(doc, item, agree) for doc, item, agree, _, _ in found] == [(0, 0, n - len(places))]
+
+
 def test_licenses(spark, odd, none):
     rows, want = [(1, None), (2, "")], set()
     for k, (name, text) in enumerate(licenses.TEMPLATES.items()):
