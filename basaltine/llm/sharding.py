@@ -1,10 +1,12 @@
 """Sharding by extendible hashing.
 
-A document's hash is 60 bits of the md5 of its id; deeper bits, for rows that
-share an id, come from the place of the row.  The directory is indexed by the
+A document's hash is 60 bits of the md5 of its id; where rows of one id are over
+the limit, 60 bits of the md5 of the text follow, and where copies of one text
+are, 60 bits each of hashes of the row's place.  The directory is indexed by the
 leading bits.  A bucket within the byte limit is a shard; only the others split
 on one bit more, until none is over the limit or holds but one document, which
-no split can make smaller.
+no split can make smaller; that holds for all bits alike, so rows of one id are
+counted again at each depth.
 
 The directory is made from a histogram by prefix, ``STEP`` bits at a time: each
 round counts only documents of prefixes that are still over the limit, so no
@@ -12,8 +14,8 @@ round moves more than 2**STEP cells for each of these.
 
 Defined results: a null or empty text has 0 bytes; a null id hashes as the
 empty string; rows that share an id (copies of a row, at worst a third of the
-table) are split by the bits of their place; an empty table gives an empty
-result; a document longer than the limit is a shard of its own at the depth
+table) are split by the bits of their texts and places; an empty table gives an
+empty result; a document longer than the limit is a shard of its own at the depth
 that parts it from its neighbours.  Only doc_id and text are read, further
 columns pass through ``sharded`` unchanged.
 """
@@ -40,7 +42,7 @@ def _bits(text: Column) -> Column:
 def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        _bits(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash"),
+        _bits(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash"), F.col("text").alias("_text"),
     )
 
 
@@ -48,68 +50,84 @@ def _prefix(hashed: Column, depth: int) -> Column:
     return F.shiftright(hashed, BITS - depth)
 
 
-def directory(rows: DataFrame, limit: int, first: int) -> tuple[DataFrame, DataFrame]:
+def directory(rows: DataFrame, limit: int, first: int, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The directory (depth, cell, shard_depth) of all rows (hash, n_bytes), and oversized 60-bit cells.
 
-    A row belongs to the entry whose cell equals its first ``depth`` bits.
+    A row belongs to the entry whose cell equals its first ``depth`` bits.  Rows
+    that differ in ``keys`` are never in one bucket; both results hold the keys.
     """
     parts, depth, floor, open_cells = [], min(first, BITS), 0, None
     while True:
-        part = rows.groupBy(_prefix(F.col("hash"), depth).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
+        part = rows.groupBy(*keys, _prefix(F.col("hash"), depth).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
         found = stored(part, f"directory-{depth}")
         lone = (F.col("n_bytes") > limit) & (F.col("n") > 1)
         # From the root down, the first depth at which a bucket fits.
         fits = []
         for d in range(floor, depth + 1):
             at = F.shiftright("cell", depth - d)
-            fits.append(found.groupBy(at.alias("bucket")).agg(F.sum("n_bytes").alias("b"), F.sum("n").alias("n"))
-                        .where((F.col("b") <= limit) | (F.col("n") == 1)).select(F.lit(d).alias("d"), "bucket"))
+            fits.append(found.groupBy(*keys, at.alias("bucket")).agg(F.sum("n_bytes").alias("b"), F.sum("n").alias("n"))
+                        .where((F.col("b") <= limit) | (F.col("n") == 1)).select(F.lit(d).alias("d"), *keys, "bucket"))
         leaf = None
         for d, fit in zip(range(floor, depth + 1), fits):
-            hit = found.select("cell", F.shiftright("cell", depth - d).alias("bucket")).join(fit, "bucket").select("cell", "d")
+            hit = found.select(*keys, "cell", F.shiftright("cell", depth - d).alias("bucket")).join(fit, [*keys, "bucket"]).select(*keys, "cell", "d")
             leaf = hit if leaf is None else leaf.unionByName(hit)
-        leaves = leaf.groupBy("cell").agg(F.min("d").alias("shard_depth"))
-        parts.append(leaves.select(F.lit(depth).alias("depth"), "cell", "shard_depth"))
-        open_cells = found.where(lone).select("cell")
+        leaves = leaf.groupBy(*keys, "cell").agg(F.min("d").alias("shard_depth"))
+        parts.append(leaves.select(F.lit(depth).alias("depth"), *keys, "cell", "shard_depth"))
+        open_cells = found.where(lone).select(*keys, "cell")
         if depth == BITS or open_cells.isEmpty():
             return reduce(DataFrame.unionByName, parts), open_cells
-        rows = rows.join(open_cells.withColumnRenamed("cell", "_cell"), _prefix(F.col("hash"), depth) == F.col("_cell"), "left_semi")
+        rows = _within(rows, open_cells, depth, keys)
         floor, depth = depth + 1, min(depth + STEP, BITS)
 
 
+def _within(rows: DataFrame, cells: DataFrame, depth: int, keys: tuple[str, ...]) -> DataFrame:
+    """The rows whose first ``depth`` bits are one of the cells."""
+    return rows.withColumn("_cell", _prefix(F.col("hash"), depth)).join(cells.withColumnRenamed("cell", "_cell"), [*keys, "_cell"], "left_semi").drop("_cell")
+
+
 def assign(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, shard_depth and shard (its bits) of every document."""
     return _assigned(_keyed(documents), limit).select("doc_id", "n_bytes", "shard_depth", "shard")
 
 
 def _assigned(rows: DataFrame, limit: int) -> DataFrame:
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    first = max(1, (max(1, total // limit) - 1).bit_length() + 4)
-    book, stuck = directory(rows.select("hash", "n_bytes"), limit, first)
-    book = stored(book, "directory")
-    depths = [r[0] for r in book.select("depth").distinct().orderBy("depth").collect()]  # at most 60 / STEP numbers
-    out = None
-    for depth in depths:
-        entry = book.where(F.col("depth") == depth).select("cell", "shard_depth")
-        hit = rows.withColumn("cell", _prefix(F.col("hash"), depth)).join(entry, "cell").drop("cell")
-        out = hit if out is None else out.unionByName(hit)
+    """``rows`` without _text, with shard_depth and shard.
+
+    Each level has 60 bits of its own: of the id, of the text, then of the place
+    as often as needed.  Only rows of oversized cells go on to the next level.
+    """
     bits = lambda h, d: F.expr(f"lpad(substring(lpad(conv({h}, 10, 2), {BITS}, '0'), 1, {d}), {d}, '0')")
-    if out is None:
-        return rows.limit(0).withColumn("shard_depth", F.lit(0)).withColumn("shard", F.lit(""))
-    done = out.withColumn("shard", bits("hash", "shard_depth"))
-    if stuck.isEmpty():
-        return done
-    # Rows of one id: split on, by the place of the row.
-    same = rows.join(stuck, F.col("hash") == F.col("cell"), "left_semi")
-    group = same.groupBy("hash").agg(F.sum("n_bytes").alias("b"), F.max("n_bytes").alias("most"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("b") / F.greatest(F.lit(1), F.lit(limit) - F.col("most")))).cast("long")
-    dealt = same.join(group.select("hash", buckets.alias("buckets")), "hash").withColumn("page", F.pmod(F.monotonically_increasing_id(), F.col("buckets")))
-    return done.unionByName(dealt.withColumn("shard_depth", F.lit(BITS)).withColumn("shard", F.concat(bits("hash", "60"), F.lit("+"), F.col("page").cast("string"))).select(*done.columns))
+    columns, out, level, keys = [c for c in rows.columns if c != "_text"], None, 0, ()
+    rows = rows.withColumn("_group", F.lit(""))
+    while True:
+        counted = rows.select(*keys, "hash", "n_bytes")
+        if level:
+            counted = stored(counted, "same")
+        total = counted.groupBy(*keys).agg(F.sum("n_bytes").alias("b")).agg(F.max("b")).first()[0] or 0
+        first = max(1, (max(1, total // limit) - 1).bit_length() + 4)
+        book, stuck = directory(counted, limit, first, keys)
+        book = stored(book, "directory")
+        depths = [r[0] for r in book.select("depth").distinct().orderBy("depth").collect()]  # at most 60 / STEP numbers
+        for depth in depths:
+            entry = book.where(F.col("depth") == depth).select(*keys, "cell", "shard_depth")
+            hit = rows.withColumn("cell", _prefix(F.col("hash"), depth)).join(entry, [*keys, "cell"])
+            hit = hit.withColumns({"shard": F.concat("_group", bits("hash", "shard_depth")), "shard_depth": F.col("shard_depth") + BITS * level}).select(*columns, "shard_depth", "shard")
+            out = hit if out is None else out.unionByName(hit)
+        if stuck.isEmpty():
+            return rows.select(*columns, F.lit(0).alias("shard_depth"), F.lit("").alias("shard")).limit(0) if out is None else out
+        rows = _within(rows, stuck, BITS, keys).withColumn("_group", F.concat("_group", bits("hash", "60")))
+        level, keys = level + 1, ("_group",)
+        if level == 1:
+            rows = rows.withColumn("hash", _bits(F.coalesce("_text", F.lit("")))).drop("_text")
+            continue
+        if level == 2:  # copies of one row: their places are written, so that all later reads see the same
+            rows = stored(rows.withColumn("_place", F.monotonically_increasing_id()), "copies")
+        rows = rows.withColumn("hash", _bits(F.concat_ws(":", "_place", F.lit(level))))
 
 
 def sharded(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Every column of ``documents`` with its shard, texts staying where they are read if the directory is small."""
-    rows = documents.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "hash": _bits(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    rows = documents.withColumns({"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "hash": _bits(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "_text": F.col("text")})
     return _assigned(rows, limit).select(*documents.columns, "n_bytes", "shard_depth", "shard")
 
 

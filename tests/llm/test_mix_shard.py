@@ -82,3 +82,50 @@ def test_rows_of_one_id_split(spark):
     for r in got:
         per[r.shard] += r.n_bytes
     assert len(got) == 41 and max(per.values()) <= 1000
+
+
+def _deep_shards(rows, limit):
+    """Bits of the id, then of the text; None where copies of one row are over the limit."""
+    word = lambda s: f"{int(hashlib.md5(s.encode()).hexdigest()[:15], 16):060b}"
+    rows = [(i, t, word(str(i)) + word(t)) for i, t in rows]
+
+    def split(part, depth):
+        if sum(len(t) for _, t, _ in part) <= limit or len(part) == 1:
+            return [(i, len(t), depth, b[:depth]) for i, t, b in part]
+        if depth == 120:
+            return [(i, len(t), None, b) for i, t, b in part]
+        return [x for bit in "01" if (half := [r for r in part if r[2][depth] == bit]) for x in split(half, depth + 1)]
+
+    return split(rows, 0)
+
+
+def _over(got, limit):
+    """Bytes of the shards of several rows that are over the limit."""
+    per = defaultdict(list)
+    for r in got:
+        per[r.shard].append(r.n_bytes)
+    return [sum(p) for p in per.values() if sum(p) > limit and len(p) > 1]
+
+
+def test_shards_of_one_id_keep_the_limit(spark):
+    sizes = [300, 1, 300, 1, 300, 1, 300, 1, 1, 1, 1, 1]
+    rows = [(1, chr(97 + k) * n) for k, n in enumerate(sizes)]  # no other id in the table
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sharding.assign(docs, 1000).collect()
+    assert not _over(got, 1000)
+    assert sorted(map(tuple, got)) == sorted(_deep_shards(rows, 1000))
+
+
+def test_shards_of_heavy_ids_keep_the_limit(spark):
+    rows = [(1, f"{k} " + "x" * (k * k * 37 % 900)) for k in range(60)] + [(2, f"{k}" * 50) for k in range(40)] + [(k, "y" * 90) for k in range(3, 30)] + [(4, "z" * 5000)]
+    rows += [(1, "same" * 60)] * 25  # 240 bytes each, 6000 in all
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.assign(docs, 1000).collect()
+    want = _deep_shards(rows, 1000)
+    assert len(got) == len(rows) and not _over(got, 1000)
+    assert sorted(tuple(r) for r in got if r.shard_depth <= 120) == sorted(w for w in want if w[2] is not None)
+    copies = {w[3] for w in want if w[2] is None}
+    assert len(copies) == 1 and all(r.shard[:120] in copies and r.shard_depth == len(r.shard) for r in got if r.shard_depth > 120)
+    whole = sharding.sharded(docs.withColumn("n", docs.doc_id), 1000)
+    assert whole.columns == ["doc_id", "text", "n", "n_bytes", "shard_depth", "shard"] and not _over(whole.collect(), 1000)
+    assert sorted((r.doc_id, r.text) for r in whole.collect()) == sorted(rows)
