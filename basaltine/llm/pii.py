@@ -1,12 +1,16 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Seeds are the matches of four checked patterns (email, ip, card, phone).  Two
-words to the left of a seed form a lexical pattern.  Identifier-shaped strings
+words to the left of a seed form a lexical pattern, earlier identifiers being
+words as well; what is glued to the identifier (``email:x``, ``<x``) is the
+second word.  Words are read up to ``_LEFT`` code points to the left.  Identifier-shaped strings
 that are no seeds are the unseen instances; patterns and instances form a
 bipartite graph that is scored in rounds:
 
 * a pattern's confidence for a kind is the weight of its instances of that kind
-  over all places of the corpus where its two words stand, whatever follows;
+  over all places of the corpus where its two words stand, whatever follows
+  (for a pattern seen glued also those where the second word is the label of a
+  longer one, not parting two letters or two digits);
 * an instance weighs 1 if it is a seed, else as the best pattern that it follows
   (0 in the first round).
 
@@ -47,7 +51,7 @@ SHAPES = (
     r"|\+?+[0-9(][0-9().:/-]{4,}+(?:\x20[0-9().:/-]++)*+"
     r"|[A-Za-z0-9]{1,16}+[.:/_-][0-9][A-Za-z0-9.:/_-]{3,}+)"
 )
-_SPAN = "array<struct<start:int,kind:int,end:int,word:string,cue:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,word:string,cue:string,glued:boolean>>"
 
 
 def _digits(word: Column) -> Column:
@@ -87,13 +91,17 @@ def _spans(pieces: str, words: str, kind: int) -> Column:
     """Spans of the matches ``words`` between the ``pieces`` of a split text."""
     p, m = F.col(pieces), F.col(words)
     none = F.lit(None).cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    last = lambda x: F.right(x, F.lit(_LEFT))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("left"), F.array().cast("array<struct<start:int,left:string>>").alias("out"))
     steps = F.aggregate(
         F.sequence(F.lit(0), F.size(m) - 1), start,
-        lambda acc, i: F.struct((acc["at"] + F.length(p[i]) + F.length(m[i])).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(p[i]))).alias("out")))["out"]
-    cue = lambda x: F.lower(F.regexp_extract(F.right(x, F.lit(_LEFT)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 0))
-    named = F.transform(F.arrays_zip(steps.alias("start"), m.alias("word"), F.slice(p, F.lit(1), F.size(m)).alias("piece")), lambda z: F.struct(
-        z["start"].alias("start"), F.lit(kind).alias("kind"), (z["start"] + F.length(z["word"])).alias("end"), z["word"].alias("word"), F.trim(F.regexp_replace(cue(z["piece"]), r"[\x20\x09-\x0D]+", " ")).alias("cue")))
+        lambda acc, i: F.struct(
+            (acc["at"] + F.length(p[i]) + F.length(m[i])).alias("at"), last(F.concat(acc["left"], last(p[i]), last(m[i]))).alias("left"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p[i])).alias("start"), last(F.concat(acc["left"], last(p[i]))).alias("left")))).alias("out")))["out"]
+    cue = lambda x: F.lower(F.regexp_extract(x, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 0))
+    named = F.transform(F.arrays_zip(steps.alias("at"), m.alias("word")), lambda z: F.struct(
+        z["at"]["start"].alias("start"), F.lit(kind).alias("kind"), (z["at"]["start"] + F.length(z["word"])).alias("end"), z["word"].alias("word"),
+        F.trim(F.regexp_replace(cue(z["at"]["left"]), r"[\x20\x09-\x0D]+", " ")).alias("cue"), z["at"]["left"].rlike(r"[^\x20\x09-\x0D]\z").alias("glued")))
     return F.coalesce(F.when(F.size(m) > 0, named.cast(_SPAN)).otherwise(none), F.array().cast(_SPAN))
 
 
@@ -115,11 +123,25 @@ def _found(documents: DataFrame) -> DataFrame:
 
 
 def _cue_totals(documents: DataFrame, cues: DataFrame) -> DataFrame:
-    """How often the two words of each cue stand next to each other in the corpus."""
+    """How often the two words of each cue (cue, glued) stand next to each other in the corpus.
+
+    For a glued cue the second word also counts as the label of a longer word.
+    """
+    c = F.split("cue", " ")
+    named = cues.select("cue", "glued", c[0].alias("a"), c[1].alias("b"))
+    lengths = [r[0] for r in named.where("glued").select(F.length("b")).distinct().collect()]  # at most _LEFT numbers
+    whole = lambda a, b: F.xxhash64(a, F.lit(" "), b)
+    label = lambda a, b: F.xxhash64(a, F.lit("<"), b)
+
+    def places(a: Column, b: Column) -> Column:
+        splits = [F.when((F.length(b) > n) & ~F.substring(b, n, 2).rlike("^(?:[a-z]{2}|[0-9]{2})"), label(a, F.substring(b, 1, n))) for n in sorted(lengths)]
+        return F.array(whole(a, b), *splits)
+
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+")
-    pairs = documents.select(words.alias("w")).where(F.size("w") > 1).select(
-        F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.xxhash64(a, F.lit(" "), b))).alias("h"))
-    hashed = cues.select("cue", F.split("cue", " ").alias("c")).select("cue", F.xxhash64(F.col("c")[0], F.lit(" "), F.col("c")[1]).alias("h"))
+    left, right = F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1)
+    zipped = F.flatten(F.zip_with(left, right, places)) if lengths else F.zip_with(left, right, whole)
+    pairs = documents.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(zipped).alias("h")).where("h IS NOT NULL")
+    hashed = named.select("cue", whole(F.col("a"), F.col("b")).alias("h")).unionByName(named.where("glued").select("cue", label(F.col("a"), F.col("b")).alias("h")))
     return pairs.join(hashed, "h").groupBy("cue").agg(F.count("*").alias("total"))
 
 
@@ -130,7 +152,9 @@ def patterns(documents: DataFrame, found: DataFrame) -> DataFrame:
     support = stored(seeds.groupBy("cue", "kind").agg(F.count("*").alias("support"), F.sum("n").alias("seeded")).where(F.col("support") >= SUPPORT), "support")
     if support.isEmpty():
         return support.select("cue", "kind", F.lit(0.0).alias("score"))
-    totals = _cue_totals(documents, support.select("cue").distinct())
+    stuck = found.select(F.explode(F.concat("base", "unseen")).alias("s")).where("s.glued").select("s.cue").distinct().withColumn("glued", F.lit(True))
+    cues = stored(support.select("cue").distinct().join(stuck, "cue", "left").select("cue", F.coalesce("glued", F.lit(False)).alias("glued")), "glued")
+    totals = _cue_totals(documents, cues)
     known = stored(support.join(totals, "cue").select("cue", "kind", "seeded", "total"), "cues")
     edges = stored(flat("unseen").join(known.select("cue").distinct(), "cue").groupBy("cue", "instance").agg(F.count("*").alias("n")), "edges")
     score = known.select("cue", "kind", (F.col("seeded") / F.col("total")).alias("score"))

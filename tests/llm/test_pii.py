@@ -43,3 +43,24 @@ def test_bootstrap_finds_unseen(spark):
     got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100].spans == "email:22:46" and got[100].n_email == 0
     assert got[101].spans == "" and got[0].n_email == 1
+
+
+def test_bootstrap_finds_glued_and_listed(spark):
+    """Labels glued to the identifier, and identifiers that follow another of their kind at once."""
+    rows = [(i, f"please contact email:user{i}@site{i}.org and more") for i in range(8)]
+    rows += [(100, "please contact email:jane [at] corp [dot] com end")]
+    rows += [(200 + i, f"reach the desk <user{i}@site{i}.net> and more") for i in range(8)] + [(300, "reach the desk <joe [at] corp [dot] com> end")]
+    rows += [(400 + i, f"we have first a@b.org copy: u{i}@site{i}.com end") for i in range(8)] + [(500, "first a@b.org copy: jim [at] corp [dot] com end")]
+    rows += [(600 + i, f"see page v10.0.0.{i} now, see page very") for i in range(8)] + [(700, "see page v9.9-beta1 end")]
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].spans == "email:21:45"
+    assert got[300].spans == "email:16:39"
+    assert got[500].spans == "email:6:13,email:20:43"
+    assert all(got[i].n_email == 1 for i in range(8)) and len(got) == len(rows)
+
+
+def test_label_totals(spark):
+    texts = ["contact email:x contact email: y", "contact emails contact email", "Contact  email:z", "pick v1 pick very pick v"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cues = spark.createDataFrame([("contact email:", True), ("contact email", False), ("pick v", True)], "cue string, glued boolean")
+    assert {r.cue: r.total for r in pii._cue_totals(docs, cues).collect()} == {"contact email:": 3, "contact email": 1, "pick v": 2}
