@@ -12,9 +12,12 @@ item) tokens.
 The test side is broadcast in blocks: one block holds about ``BLOCK_BYTES`` of
 item text, and a larger benchmark takes several passes over the documents.
 
-Defined results: null or empty texts match nothing, on either side; items of
-fewer than ``SHORTEST`` tokens are no evidence and match nothing; items shorter
-than the masks are looked up whole and must agree in every token; repeated
+Items shorter than the masks have masks of their own length, which leave out
+every choice of a quarter of the places; the same rule holds for them.
+
+Defined results: null or empty texts match nothing, on either side, nor do items
+without a token; items of fewer than ``SHORTEST`` tokens are looked up whole and
+must agree in every token, so that none is found by its commoner part; repeated
 rows on either side are judged each on their own, an item id that is repeated
 with one text gives one row; a null id stays null; empty tables give an empty
 result.  Only the named columns are read, so further columns do not matter.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +65,25 @@ def _seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def _masks(n: int) -> list[str]:
+    """Masks for items of n tokens: below the length of ``MASKS`` they hit wherever three quarters agree.
+
+    Every choice of places that may differ is among the places that some mask
+    skips.  Skipped places at the ends are cut off, as the text may end there.
+    """
+    if n >= max(map(len, MASKS)):
+        return list(MASKS)
+    wrong = n // 4 if n >= SHORTEST else 0
+    left = set(combinations(range(n), wrong))
+    skips = list(combinations(range(n), wrong + (wrong > 1)))
+    found = []
+    while left:
+        skip = max(skips, key=lambda s: sum(c in left for c in combinations(s, wrong)))
+        left -= set(combinations(skip, wrong))
+        found.append("".join("01"[k not in skip] for k in range(n)).strip("0"))
+    return sorted(set(found))
+
+
 class Block:
     """Seeds of some benchmark items, ready for lookup."""
 
@@ -70,26 +93,21 @@ class Block:
         for _, _, data, off in slices(column):
             hashes, first = tokens(data, off)
             self.items += [hashes[first[k] : first[k + 1]].copy() for k in range(len(off) - 1)]
-        short = {len(x) for x in self.items if SHORTEST <= len(x) < max(map(len, MASKS))}
-        self.masks = list(MASKS) + ["1" * n for n in sorted(short)]
-        found = {m: ([], [], []) for m in self.masks}
+        found: dict[str, tuple[list, list, list]] = {}
+        masks = {n: _masks(n) for n in {len(x) for x in self.items if len(x)}}
         for k, item in enumerate(self.items):
-            if len(item) < SHORTEST:
-                continue
-            whole = "1" * len(item)
-            for mask in [whole] if whole in found else MASKS:
+            for mask in masks.get(len(item), ()):
                 h = _seeds(item, mask)
-                found[mask][0].append(h)
-                found[mask][1].append(np.full(len(h), k))
-                found[mask][2].append(np.arange(len(h)))
+                for part, values in zip(found.setdefault(mask, ([], [], [])), (h, np.full(len(h), k), np.arange(len(h)))):
+                    part.append(values)
         self.tables = {}
         for mask, (h, item, at) in found.items():
-            if h:
-                h, item, at = map(np.concatenate, (h, item, at))
-                order = np.argsort(h, kind="stable")
-                there = np.zeros(1 << _BITS, bool)
-                there[h >> np.uint64(64 - _BITS)] = True
-                self.tables[mask] = h[order], item[order], at[order], there
+            h, item, at = map(np.concatenate, (h, item, at))
+            order = np.argsort(h, kind="stable")
+            there = np.zeros(1 << _BITS, bool)
+            there[h >> np.uint64(64 - _BITS)] = True
+            self.tables[mask] = h[order], item[order], at[order], there
+        self.tiny = np.array([len(x) < SHORTEST for x in self.items], bool)
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, tokens agreeing, segment length, segment start) of each contaminated pair."""
@@ -104,7 +122,15 @@ class Block:
             pos = np.repeat(maybe, n)
             doc = np.searchsorted(first, pos, "right") - 1
             inside = pos + len(mask) <= first[doc + 1]
-            lines.append(np.stack([doc, item[pick], pos - at[pick]])[:, inside])
+            line = np.stack([doc, item[pick], pos - at[pick]])[:, inside]
+            tiny = self.tiny[line[1]]
+            if tiny.any():  # whole matches are all alike: the last of each document will do
+                whole = line[:, tiny]
+                whole = whole[:, np.lexsort(whole[::-1])]
+                last = np.ones(whole.shape[1], bool)
+                last[:-1] = (whole[:2, 1:] != whole[:2, :-1]).any(axis=0)
+                line = np.concatenate([line[:, ~tiny], whole[:, last]], axis=1)
+            lines.append(line)
         if not lines:
             return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -128,7 +154,7 @@ class Block:
         agree = int(total[end] - total[begin])
         if agree:
             begin += int(np.argmax(same[begin:end]))  # the end agrees, being the first of its total
-        need = len(item) if len(item) < max(map(len, MASKS)) else min(NEED, -(-3 * len(item) // 4))
+        need = len(item) if len(item) < SHORTEST else min(NEED, -(-3 * len(item) // 4))
         return (agree, end - begin, lo + shift + begin) if agree >= need else None
 
 

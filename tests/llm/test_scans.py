@@ -66,6 +66,24 @@ def test_spread_substitutions_are_found():
         assert [(doc, item, agree) for doc, item, agree, _, _ in found] == [(0, 0, n - len(places))]
 
 
+def test_short_items():
+    """Items of 1 to 9 tokens with every choice of replaced tokens, inside a text and at its ends."""
+    word = lambda k: f"word{k}"
+    for n in range(1, 10):
+        block = decontaminate.Block([1, 2, 3], [" ".join(map(word, range(n))), "", "..."])
+        for bits in range(1 << n):
+            same = [not bits >> k & 1 for k in range(n)]
+            text = " ".join(word(k) if s else "other" for k, s in enumerate(same))
+            first, last = (same.index(True), n - same[::-1].index(True)) if any(same) else (0, n)
+            cut = " ".join(text.split(" ")[first:last])
+            most = _most(same)
+            want = most >= (n if n < 5 else -(-3 * n // 4))
+            data = np.frombuffer("".join(parts := [f"some prose {text} and more {text} x", cut, "some prose"]).encode(), np.uint8)
+            off = np.cumsum([0, *map(len, parts)])
+            found = block.hits(*decontaminate.tokens(data, off))
+            assert sorted((doc, item, agree) for doc, item, agree, _, _ in found) == ([(0, 0, most), (1, 0, most)] if want else []), (n, same)
+
+
 def test_licenses(spark, odd, none):
     rows, want = [(1, None), (2, "")], set()
     for k, (name, text) in enumerate(licenses.TEMPLATES.items()):
