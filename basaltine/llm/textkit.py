@@ -8,7 +8,7 @@ longest document, never by the partition.
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -151,16 +151,19 @@ def unique_per_doc(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a folder is made
-    and set here.
+    Where the setting is absent and all executors are threads of this machine
+    (tests), a folder of this machine is set; on a cluster its absence is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        jvm_dir = context._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
-        folder = os.path.join("/tmp", "basaltine-shared")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="basaltine-")
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -170,12 +173,14 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
-    This cuts lineage durably: the files outlive any executor.  Meanwhile Arrow
-    batches are held to ARROW_BYTES, as several of them stand in memory at once
-    on both sides of a Python worker.
+    This cuts lineage durably: the files outlive any executor, and go with the
+    driver at the latest.  Meanwhile Arrow batches are held to ARROW_BYTES, as
+    several of them stand in memory at once on both sides of a Python worker.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, ARROW_BYTES)
     try:
