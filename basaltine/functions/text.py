@@ -47,7 +47,7 @@ def band(confidence: Column) -> Column:
 
 
 def price(value: Column) -> Column:
-    """A price from text: white space parts thousands, one or two decimals follow '.' or ','."""
-    plain = F.regexp_replace(value, "[\\s ]", "")
-    found = F.regexp_extract(plain, r"([0-9]+(?:[.,][0-9]{1,2})?)", 1)
-    return F.when(found != "", F.replace(found, F.lit(","), F.lit(".")).cast("double"))
+    """First price of a text: up to nine digits, groups of three after a space, one or two decimals after '.' or ','."""
+    plain = F.left(F.trim(F.regexp_replace(value, "[\\s\u00a0]+", " ")), F.lit(100))
+    found = F.regexp_extract(plain, r"([0-9]{1,9}(?: [0-9]{3})*(?:[.,][0-9]{1,2})?)", 1)
+    return F.when(found != "", F.replace(F.replace(found, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).cast("double"))

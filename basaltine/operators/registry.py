@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import DOMAIN_REASONS, host_key, safety
@@ -19,32 +19,47 @@ class Policy:
     kind: str = "link"
 
 
-def decide(candidates: DataFrame, domains: DataFrame, policy: Policy, active: int = 0) -> DataFrame:
-    """Action and reason of each candidate (url, score 0..1, depth, place).
+#: Reasons by kind of candidate: too low a score, and activated.
+BELOW = {"link": "below_threshold", "search": "below_search_threshold", "feed": "below_threshold"}
+REACHED = {"link": "relevance_threshold", "search": "search_relevance_threshold", "feed": "feed_relevance_threshold"}
 
-    All arms but the budget look at one row.  The budget takes new hosts in the
-    order in which they first come up: a host's turn is its rank among them.
+
+def decide(candidates: DataFrame, domains: DataFrame, policy: Policy, active: int = 0, held: DataFrame | None = None) -> DataFrame:
+    """Action, reason and domain status of each candidate (url, score 0..1, depth, place).
+
+    ``domains``: domain, status and, where kept, reason; ``held``: domains that
+    have a slot of this run already, ``active`` of them.  A slot goes to the
+    domains that ask for one in the order of their first asking: persisted
+    active ones at any score, new ones once a candidate passes the threshold.
+    From then on all candidates of a domain are known, whatever their score.
+    The slots are a top-k of claims, so no window spans all domains.
     """
-    below = {"link": "below_threshold", "search": "below_search_threshold", "feed": "below_feed_threshold"}[policy.kind]
-    rows = candidates.withColumns({"domain": host_key(F.col("url")), "unsafe": safety(F.col("url"))}).join(domains.select("domain", "status"), "domain", "left")
-    blocked = F.col("unsafe") != "ok"
-    early = (
-        F.when(blocked, F.struct(F.lit("blocked").alias("action"), F.col("unsafe").alias("reason")))
-        .when(F.col("status") == "active", F.struct(F.lit("known").alias("action"), F.lit("persisted_active").alias("reason")))
-        .when(F.col("status").isin("blocked", "rejected"), F.struct(F.lit("blocked").alias("action"), F.concat(F.lit("persisted_"), F.col("status")).alias("reason")))
-        .when(F.lit(policy.mode == "domain"), F.struct(F.lit("recorded").alias("action"), F.lit("domain_mode").alias("reason")))
-        .when(F.lit(policy.kind == "search" and policy.mode != "expedition"), F.struct(F.lit("recorded").alias("action"), F.lit("not_expedition_mode").alias("reason")))
-        .when(F.col("score") < policy.threshold, F.struct(F.lit("recorded").alias("action"), F.lit(below).alias("reason")))
-        .when(F.col("depth") > policy.depth, F.struct(F.lit("recorded").alias("action"), F.lit("depth_limit").alias("reason"))))
-    rows = rows.withColumn("early", early)
-    fresh = rows.where("early IS NULL").groupBy("domain").agg(F.min("place").alias("first"))
-    turns = fresh.withColumn("turn", F.row_number().over(Window.orderBy("first"))).where(F.col("turn") <= max(0, policy.max_domains - active))
-    out = rows.join(turns.select("domain", "first"), "domain", "left")
-    late = (
-        F.when(F.col("first").isNull(), F.struct(F.lit("recorded").alias("action"), F.lit("domain_budget").alias("reason")))
-        .when(F.col("first") == F.col("place"), F.struct(F.lit("activated").alias("action"), F.lit("relevance").alias("reason"))).otherwise(F.struct(F.lit("known").alias("action"), F.lit("active_this_run").alias("reason"))))
-    verdict = F.coalesce("early", late)
-    status = F.when(F.col("unsafe").isin(*DOMAIN_REASONS), "blocked").when(verdict["action"] == "activated", "active").otherwise(F.coalesce("status", F.lit("candidate")))
+    kept = domains.select("domain", "status", (F.nullif("reason", F.lit("")) if "reason" in domains.columns else F.lit(None).cast("string")).alias("kept_reason"))
+    slots = candidates.sparkSession.createDataFrame([], "domain string") if held is None else held.select("domain").distinct()
+    rows = candidates.withColumns({"domain": host_key(F.col("url")), "unsafe": safety(F.col("url"))}).join(kept, "domain", "left").join(slots.withColumn("held", F.lit(True)), "domain", "left")
+    fixed = lambda action, reason: F.struct(F.lit(action).alias("action"), reason.alias("reason"))
+    persisted = (
+        F.when(F.col("unsafe") != "ok", fixed("blocked", F.col("unsafe")))
+        .when(F.col("status") == "blocked", fixed("blocked", F.coalesce("kept_reason", F.lit("persisted_blocked"))))
+        .when(F.col("status") == "rejected", fixed("recorded", F.coalesce("kept_reason", F.lit("persisted_rejected"))))
+        .when(F.col("held") & (F.col("status") == "candidate") & (F.col("kept_reason") == "nonproductive_source"), fixed("recorded", F.col("kept_reason"))))
+    refused = (
+        F.when(F.lit(policy.mode == "domain" and policy.kind != "search"), F.lit("domain_mode"))
+        .when(F.lit(policy.kind == "search" and policy.mode != "expedition"), "not_expedition_mode")
+        .when(F.col("score") < policy.threshold, BELOW[policy.kind])
+        .when(F.lit(policy.kind != "search") & (F.col("depth") > policy.depth), "depth_limit"))
+    rows = rows.withColumns({"persisted": persisted, "refused": refused, "was_active": F.coalesce(F.col("status") == "active", F.lit(False))})
+    claims = rows.where("persisted IS NULL AND held IS NULL AND (was_active OR refused IS NULL)").groupBy("domain").agg(F.min("place").alias("first"))
+    taken = claims.orderBy("first").limit(max(0, policy.max_domains - active))
+    out = rows.join(taken, "domain", "left")
+    known = F.coalesce(F.col("held") & F.col("was_active"), F.lit(False)) | F.coalesce(F.col("was_active") & F.col("first").isNotNull(), F.lit(False)) | F.coalesce(F.col("place") > F.col("first"), F.lit(False))
+    verdict = F.coalesce("persisted", F.when(known, fixed("known", F.lit("already_active")))
+        .when(F.col("was_active"), fixed("recorded", F.lit("domain_budget_reached")))
+        .when(F.col("place") == F.col("first"), fixed("activated", F.lit(REACHED[policy.kind])))
+        .when(F.col("refused").isNotNull(), fixed("recorded", F.col("refused")))
+        .when(F.col("held"), fixed("activated", F.lit(REACHED[policy.kind])))
+        .otherwise(fixed("recorded", F.lit("domain_budget_reached"))))
+    status = F.when(F.col("unsafe").isin(*DOMAIN_REASONS), "blocked").when(verdict["action"].isin("activated", "known"), "active").otherwise(F.coalesce("status", F.lit("candidate")))
     return out.select(*candidates.columns, "domain", verdict["action"].alias("action"), verdict["reason"].alias("reason"), status.alias("domain_status"))
 
 
@@ -52,7 +67,7 @@ def outcome(status: Column, content_type: Column, error: Column, allowed: Column
     """What became of a visit: robots, error, redirect, status, content."""
     return (
         F.when(~F.coalesce(allowed, F.lit(True)), "robots_blocked").when(error.isNotNull(), F.concat(F.lit("http_error:"), error)).when(~F.coalesce(safe, F.lit(True)), "unsafe_redirect")
-        .when(status >= 400, "http_status").when(~F.contains(F.lower(F.coalesce(content_type, F.lit("text/html"))), F.lit("html")), "non_html").otherwise("html_ok"))
+        .when(status != 200, "http_status").when(~F.contains(F.lower(F.coalesce(content_type, F.lit("text/html"))), F.lit("html")), "non_html").otherwise("html_ok"))
 
 
 def priority(kind: Column, score: Column, ratio: Column, internal: Column, promising: Column, penalty: Column) -> Column:

@@ -355,14 +355,17 @@ def target_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT id AS place, target_url AS url, target_domain AS domain, relevance_score AS score FROM domain_discoveries WHERE run_id = 7),
-e AS (SELECT c.*, CASE WHEN d.status = 'active' THEN 'known' WHEN d.status IN ('blocked', 'rejected') THEN 'blocked' WHEN score < 0.3 THEN 'recorded' END AS early FROM c LEFT JOIN domains d USING (domain)),
-t AS (SELECT domain, min(place) AS first, row_number() OVER (ORDER BY min(place)) AS turn FROM e WHERE early IS NULL GROUP BY domain)
-SELECT place, e.domain, coalesce(early, CASE WHEN first IS NULL THEN 'recorded' WHEN first = place THEN 'activated' ELSE 'known' END) AS action
-FROM e LEFT JOIN (SELECT * FROM t WHERE turn <= 20) t USING (domain)""", "domain_discoveries", "domains")
+WITH c AS (SELECT id AS place, target_domain AS domain, relevance_score AS score FROM domain_discoveries WHERE run_id = 7),
+e AS (SELECT c.*, d.status FROM c LEFT JOIN domains d USING (domain)),
+t AS (SELECT domain, min(place) AS first FROM e WHERE status = 'active' OR (coalesce(status, 'candidate') = 'candidate' AND score >= 0.3) GROUP BY domain ORDER BY first LIMIT 20),
+v AS (SELECT place, e.domain, status, CASE WHEN status = 'blocked' THEN 'blocked,persisted_blocked' WHEN status = 'rejected' THEN 'recorded,persisted_rejected'
+  WHEN first < place OR (status = 'active' AND first IS NOT NULL) THEN 'known,already_active' WHEN status = 'active' THEN 'recorded,domain_budget_reached'
+  WHEN first = place THEN 'activated,relevance_threshold' WHEN score < 0.3 THEN 'recorded,below_threshold' ELSE 'recorded,domain_budget_reached' END AS verdict FROM e LEFT JOIN t USING (domain))
+SELECT place, domain, split_part(verdict, ',', 1) AS action, split_part(verdict, ',', 2) AS reason,
+  CASE WHEN split_part(verdict, ',', 1) IN ('activated', 'known') THEN 'active' ELSE coalesce(status, 'candidate') END AS domain_status FROM v""", "domain_discoveries", "domains")
 def registry_decisions(spark: SparkSession, sf: str) -> DataFrame:
     found = table(spark, sf, "domain_discoveries").where("run_id = 7").select(F.col("id").alias("place"), F.col("target_url").alias("url"), F.col("relevance_score").alias("score"), F.lit(1).alias("depth"))
-    return registry.decide(found, table(spark, sf, "domains"), registry.Policy()).select("place", "domain", "action")
+    return registry.decide(found, table(spark, sf, "domains"), registry.Policy()).select("place", "domain", "action", "reason", "domain_status")
 
 
 @query("""

@@ -24,7 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Signs and codes of currencies.
-CURRENCIES = {"€": "EUR", "eur": "EUR", "$": "USD", "usd": "USD", "£": "GBP", "gbp": "GBP"}
+CURRENCIES = ("€", "EUR", "USD", "GBP", "CHF", "SEK", "NOK", "DKK", "PLN")
+NUMBER = r"\d{1,9}(?:\s\d{3})*(?:[.,]\d{1,2})?"
 FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/feed+json", "application/json", "application/xml", "text/xml")
 IDENTITY = ("brand", "manufacturer", "model", "mpn", "sku", "gtin")
 
@@ -88,7 +89,7 @@ def tree(text: str) -> Node:
     return builder.root
 
 
-def clean(value: object, limit: int = 2000) -> str:
+def clean(value: object, limit: int = 4000) -> str:
     """Readable text of any value: entities resolved, white space squeezed, cut at ``limit``."""
     if value is None:
         return ""
@@ -97,19 +98,20 @@ def clean(value: object, limit: int = 2000) -> str:
 
 
 def amount(value: object) -> float | None:
-    """First number of a text; white space parts thousands, one or two decimals follow '.' or ','."""
-    found = re.search(r"\d+(?:[.,]\d{1,2})?", re.sub(r"[\s ]", "", "" if value is None else str(value)))
-    return round(float(found[0].replace(",", ".")), 2) if found else None
+    """First number of a text; a space parts groups of three digits, one or two decimals follow '.' or ','."""
+    found = re.search(NUMBER, clean(value, 100))
+    return round(float("".join(found[0].split()).replace(",", ".")), 2) if found else None
 
 
 def money(text: str) -> tuple[float, str] | None:
-    """An amount with a currency beside it, after or before."""
-    number, code = r"(\d[\d\s ]*(?:[.,]\d{1,2})?)", r"(€|\$|£|EUR|USD|GBP)"
-    after = re.search(number + r"\s*" + code, text, re.I)
-    before = None if after else re.search(code + r"\s*" + number, text, re.I)
-    if after:
-        return amount(after[1]), CURRENCIES[after[2].lower()]
-    return (amount(before[2]), CURRENCIES[before[1].lower()]) if before else None
+    """An amount with a currency beside it: a sign or code after it, else a code before it."""
+    plain = clean(text, 1200)
+    after = re.search(rf"(?<!\d)({NUMBER})\s*({'|'.join(CURRENCIES)})", plain, re.I)
+    before = None if after else re.search(rf"\b({'|'.join(CURRENCIES[1:])})\s*({NUMBER})(?!\d)", plain, re.I)
+    if not after and not before:
+        return None
+    number, code = (after[1], after[2]) if after else (before[2], before[1])
+    return amount(number), "EUR" if code == "€" else code.upper()
 
 
 class Product(dict):
@@ -153,7 +155,7 @@ def from_json_ld(page: Node, url: str) -> list[Product]:
                 p, offer = Product(), _first(item.get("offers"))
                 offer = offer if isinstance(offer, dict) else {}
                 p.put("title", clean(item.get("name"), 300), 0.98)
-                p.put("description", clean(item.get("description")), 0.98)
+                p.put("description", clean(item.get("description"), 2500), 0.98)
                 p.put("price", amount(offer.get("price") or offer.get("lowPrice") or item.get("price")), 0.98)
                 currency = clean(offer.get("priceCurrency"))
                 p.put("currency", currency or "EUR", 0.98 if currency else 0.55, "" if currency else "default:EUR")
@@ -208,7 +210,7 @@ def from_open_graph(page: Node, url: str) -> list[Product]:
     meta: dict[str, str] = {}
     for node in page.walk():
         if node.tag == "meta":
-            meta.setdefault(node.attrs.get("property") or node.attrs.get("name", ""), clean(node.attrs.get("content")))
+            meta.setdefault(node.attrs.get("property") or node.attrs.get("name", ""), clean(node.attrs.get("content"), 1500))
     number = meta.get("product:price:amount") or meta.get("og:price:amount")
     if not meta.get("og:title") or not (number or "product" in meta.get("og:type", "").lower()):
         return []

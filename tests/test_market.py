@@ -79,6 +79,8 @@ def test_text_functions(spark):
     row = spark.createDataFrame([("4006 381333931", "036000291452", "4006381333932", "X-1", " Straße_Ä ", "1.299,00", "12,5 EUR")], "a string, b string, c string, d string, e string, f string, g string")
     got = row.select(*[text.gtin(F.col(c)) for c in "abc"], text.normal_code(F.col("d")), text.normal_text("e"), text.price(F.col("f")), text.price(F.col("g"))).first()
     assert tuple(got) == ("4006381333931", "036000291452", "", "X1", "strasse ä", 1.29, 12.5)
+    prices = spark.createDataFrame([("5 10 EUR",), ("1\u00a0299,00",), ("none",)], "p string")
+    assert [r[0] for r in prices.select(text.price(F.col("p"))).collect()] == [5.0, 1299.0, None]
 
 
 def test_url_functions(spark):
@@ -135,6 +137,12 @@ def test_extraction(spark):
     assert (got["5"].method, got["5"].title, got["5"].price, got["5"].confidences["price"]) == ("dom-fallback", "Wooden box", 129.99, 0.68)
 
 
+def test_money():
+    cases = {"5 10 EUR": (10.0, "EUR"), "1 299 SEK": (1299.0, "SEK"), "£12": None, "chf 12,5": (12.5, "CHF"), "now 1 299.90 €": (1299.9, "EUR"), "$ 5": None}
+    assert {k: web.money(k) for k in cases} == cases
+    assert (web.amount("5 10"), web.amount("1 299,00"), web.amount(None), len(web.clean("x" * 5000))) == (5.0, 1299.0, None, 4000)
+
+
 def test_feeds_and_sitemaps(spark):
     rss = "<rss><channel><item><guid>new-2</guid><link>http://a/2</link><title>B</title></item><item><guid>old-1</guid><link>http://a/1</link></item></channel></rss>"
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>a2</id><link href="http://a/2"/><title>T</title></entry></feed>'
@@ -155,7 +163,16 @@ def test_registry(spark):
     rows = [("http://seed.example/x", 0.9, 1, 1), ("http://new.example/x", 0.7, 1, 2), ("http://low.example/x", 0.1, 1, 3), ("http://facebook.com/x", 0.9, 1, 4), ("http://ok.example/privacy", 0.9, 1, 5), ("http://new.example/y", 0.7, 1, 6), ("http://late.example/", 0.8, 1, 7), ("http://bad.example/", 0.8, 1, 8)]
     frame = spark.createDataFrame(rows, "url string, score double, depth int, place int")
     got = {r.place: (r.action, r.reason) for r in registry.decide(frame, domains, registry.Policy(max_domains=1)).collect()}
-    assert got == {1: ("known", "persisted_active"), 2: ("activated", "relevance"), 3: ("recorded", "below_threshold"), 4: ("blocked", "blocked_host"), 5: ("blocked", "blocked_path"), 6: ("known", "active_this_run"), 7: ("recorded", "domain_budget"), 8: ("blocked", "persisted_rejected")}
+    assert got == {1: ("known", "already_active"), 2: ("recorded", "domain_budget_reached"), 3: ("recorded", "below_threshold"), 4: ("blocked", "blocked_host"), 5: ("blocked", "blocked_path"), 6: ("recorded", "domain_budget_reached"), 7: ("recorded", "domain_budget_reached"), 8: ("recorded", "persisted_rejected")}
+    got = {r.place: (r.action, r.reason, r.domain_status) for r in registry.decide(frame, domains, registry.Policy(max_domains=2)).collect()}
+    assert (got[2], got[6], got[7][1]) == (("activated", "relevance_threshold", "active"), ("known", "already_active", "active"), "domain_budget_reached")
+    reasons = spark.createDataFrame([("bad.example", "rejected", "spam"), ("new.example", "candidate", "nonproductive_source")], "domain string, status string, reason string")
+    held = spark.createDataFrame([("new.example",)], "domain string")
+    got = {r.place: (r.action, r.reason) for r in registry.decide(frame, reasons, registry.Policy(kind="feed"), 1, held).collect()}
+    assert (got[1], got[2], got[8]) == (("activated", "feed_relevance_threshold"), ("recorded", "nonproductive_source"), ("recorded", "spam"))
+    answers = spark.createDataFrame([(200, None), (204, None), (301, None), (200, "Timeout")], "status int, error string")
+    kind = registry.outcome(F.col("status"), F.lit("text/html"), F.col("error"), F.lit(True), F.lit(True))
+    assert [r[0] for r in answers.select(kind).collect()] == ["html_ok", "http_status", "http_status", "http_error:Timeout"]
     rules = spark.createDataFrame([("a.example", 1, "/x/ok", True), ("a.example", 2, "/x", False)], "host string, line_no int, path string, allow boolean")
     visits = spark.createDataFrame([("http://a.example/x/ok",), ("http://a.example/x/no",), ("http://b.example/x",)], "url string")
     assert {r.url[-4:]: r.allowed for r in registry.robots_allowed(visits, rules).collect()} == {"x/ok": True, "x/no": False, "le/x": True}
