@@ -38,20 +38,48 @@ def memory_state() -> Column:
         .when(F.col("crawl_runs") > 0, "nonproductive").otherwise("untested"))
 
 
-def rank_hits(hits: DataFrame, terms: DataFrame, profiles: DataFrame, negative: list[str] = ()) -> DataFrame:
-    """Hits of each query in order of source band, source rates, relevance and provider order."""
-    scored = bm25(hits, terms).withColumn("domain", host_key(F.col("url")))
+def _words(phrases: list[str]) -> list[str]:
+    return sorted({t for p in phrases for t in "".join(c if c.isalnum() else " " for c in p.casefold()).split()})
+
+
+def match_counts(hits: DataFrame, terms: DataFrame, target: list[str] = (), anchors: list[str] = (), negative: list[str] = ()) -> DataFrame:
+    """How many terms of its query stand in a hit's title, path and host, and how many of the target's, its anchors' and of negative phrases anywhere.
+
+    Target words count only where anchors are given too.  A query's terms are
+    one short array, so each hit is read once.
+    """
+    part = lambda name: F.coalesce(F.try_parse_url("url", F.lit(name)), F.lit(""))
+    asked = terms.groupBy("query").agg(F.collect_set("term").alias("asked"))
+    rows = hits.join(asked, "query", "left").withColumns({
+        "asked": F.coalesce("asked", F.array().cast("array<string>")), "title_": F.lower(F.coalesce("title", F.lit(""))), "snippet_": F.lower(F.coalesce("snippet", F.lit(""))),
+        "path_": F.lower(F.coalesce(F.try_url_decode(part("PATH")), F.lit(""))), "host_": F.lower(part("HOST"))})
+    hay = F.concat_ws(" ", "title_", "snippet_", "path_", "host_")
+    everywhere = F.array_distinct(tokens(hay))
+    need, fixed = _words(list(target)), _words(list(anchors))
+    if not need or not fixed:
+        need, fixed = [], []
+    common = lambda words, have: F.size(F.array_intersect(words, have))
+    listed = lambda words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    bad = sum((F.contains(hay, F.lit(w)).cast("int") for w in (n.casefold() for n in negative) if w.strip()), F.lit(0))
+    out = rows.select("query", "provider_index", "url", host_key(F.col("url")).alias("domain"), common(F.col("asked"), tokens(F.col("title_"))).alias("title_matches"), common(F.col("asked"), tokens(F.col("path_"))).alias("path_matches"),
+                      common(F.col("asked"), tokens(F.col("host_"))).alias("domain_matches"), common(listed(need), everywhere).alias("target_matches"), common(listed(fixed), everywhere).alias("anchor_matches"), bad.alias("negative_matches"))
+    label = F.concat_ws(" ", *[F.concat(F.lit(f"{name}="), F.col(column).cast("string")) for name, column in (("title", "title_matches"), ("path", "path_matches"), ("domain", "domain_matches"), ("target", "target_matches"), ("anchor", "anchor_matches"), ("negative", "negative_matches"))])
+    return out.withColumn("audit", label)
+
+
+def rank_hits(hits: DataFrame, terms: DataFrame, profiles: DataFrame, negative: list[str] = (), target: list[str] = (), anchors: list[str] = ()) -> DataFrame:
+    """Hits of each query by twelve keys: anchor and target matches, source band and rates, negative phrases, relevance, field matches, provider order."""
+    scored = bm25(hits, terms).drop("url").join(match_counts(hits, terms, target, anchors, negative), ["query", "provider_index"])
     known = profiles.select("domain", "status", "productive_runs", "crawl_runs", "is_stale", "productive_run_rate", "entity_yield", "success_rate")
     rows = scored.join(known, "domain", "left").withColumn("state", memory_state())
-    text = hits.select("query", "provider_index", F.lower(F.concat_ws(" ", "title", "snippet", "url")).alias("hay"))
-    bad = F.lit(False)
-    for word in negative:
-        bad = bad | F.contains("hay", F.lit(word.strip().lower()))
-    rows = rows.join(text.select("query", "provider_index", bad.alias("negative")), ["query", "provider_index"])
-    order = F.array_position(F.array(*[F.lit(s) for s in ("productive_fresh", "untested", "productive_stale", "nonproductive", "blocked")]), F.when(F.col("state") == "rejected", "blocked").otherwise(F.col("state")))
+    bands = F.array(*[F.lit(s) for s in ("productive_fresh", "untested", "productive_stale", "nonproductive", "blocked")])
+    order = F.array_position(bands, F.when(F.col("state") == "rejected", "blocked").otherwise(F.col("state")))
     rate = lambda c: F.desc(F.when(F.col("state").startswith("productive"), F.coalesce(c, F.lit(0.0))).otherwise(0.0))
-    within = Window.partitionBy("query").orderBy(order, rate("productive_run_rate"), rate("entity_yield"), rate("success_rate"), "negative", F.desc(F.round("bm25", 9)), "provider_index")
-    return rows.select("query", "provider_index", "url", "domain", "state", "negative", "bm25", F.row_number().over(within).alias("rank"))
+    within = Window.partitionBy("query").orderBy(
+        F.desc("anchor_matches"), F.desc("target_matches"), order, rate("productive_run_rate"), rate("entity_yield"), rate("success_rate"),
+        F.col("negative_matches") > 0, F.desc(F.round("bm25", 9)), F.desc("title_matches"), F.desc("path_matches"), F.desc("domain_matches"), "provider_index")
+    return rows.select("query", "provider_index", "url", "domain", "state", (F.col("negative_matches") > 0).alias("negative"), "bm25", "title_matches", "path_matches", "domain_matches", "target_matches", "anchor_matches", "negative_matches",
+                       F.concat(F.format_string("bm25=%.3f ", "bm25"), "audit").alias("audit"), F.row_number().over(within).alias("rank"))
 
 
 def candidate_pool(ranked: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import changes, evidence, memory, ranking, registry, resolution, store
+from ..operators import changes, evidence, lineage, memory, ranking, registry, resolution, store
 from ..sources import web
 from .views import PROJECT, table, with_views
 
@@ -283,11 +283,39 @@ def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("query", "provider_index", "matched_terms", F.floor(F.col("bm25") * 1000 + 0.0001).alias("bm25_milli"))
 
 
-@query()
+_TARGET, _ANCHORS, _NEGATIVE = ["that", "the", "and"], ["that"], [" in ", "der "]
+_SIGNALS = f"""SELECT query, provider_index, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS domain, len(list_intersect(q, tt)) AS title_matches, len(list_intersect(q, pt)) AS path_matches, len(list_intersect(q, dt)) AS domain_matches,
+  len(list_intersect(['that', 'the', 'and'], list_distinct(tt || st || pt || dt))) AS target_matches, len(list_intersect(['that'], list_distinct(tt || st || pt || dt))) AS anchor_matches,
+  contains(hay, ' in ')::INTEGER + contains(hay, 'der ')::INTEGER AS negative_matches
+FROM (SELECT *, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS tt, list_distinct(regexp_extract_all(lower(snippet), '[\\p{{L}}\\p{{N}}]+')) AS st,
+    list_distinct(regexp_extract_all(lower(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1)), '[\\p{{L}}\\p{{N}}]+')) AS pt, list_distinct(regexp_extract_all(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '[\\p{{L}}\\p{{N}}]+')) AS dt,
+    lower(concat_ws(' ', title, snippet, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), regexp_extract(url, '^[a-z]+://([^/]+)', 1))) AS hay FROM search_hits) h
+JOIN (SELECT query, list(term) AS q FROM {_TERMS} GROUP BY query) USING (query)"""
+
+
+@query(_SIGNALS, "search_hits")
+def hit_signals(spark: SparkSession, sf: str) -> DataFrame:
+    hits = table(spark, sf, "search_hits")
+    return ranking.match_counts(hits, _terms(hits), _TARGET, _ANCHORS, _NEGATIVE).drop("url", "audit")
+
+
+_BM25 = ORACLES["bm25_scores"].replace("floor(sum(", "sum(").replace(" * 1000 + 0.0001)::BIGINT AS bm25_milli", " AS bm25")
+
+
+@query(f"""
+WITH p AS ({ORACLES["source_profiles"].rsplit("ORDER BY", 1)[0]}), b AS ({_BM25}), g AS ({with_views(_SIGNALS, "search_hits")}),
+s AS (SELECT g.*, coalesce(b.bm25, 0) AS bm25, productive_run_rate, entity_yield, success_rate, CASE WHEN p.status IS NULL THEN 'untested' WHEN p.status IN ('blocked', 'rejected') THEN p.status
+    WHEN productive_runs > 0 THEN CASE WHEN is_stale THEN 'productive_stale' ELSE 'productive_fresh' END WHEN crawl_runs > 0 THEN 'nonproductive' ELSE 'untested' END AS state
+  FROM g LEFT JOIN b USING (query, provider_index) LEFT JOIN p USING (domain))
+SELECT query, provider_index, domain, state, title_matches, target_matches, anchor_matches, negative_matches, row_number() OVER (PARTITION BY query ORDER BY anchor_matches DESC, target_matches DESC,
+  CASE state WHEN 'productive_fresh' THEN 0 WHEN 'untested' THEN 1 WHEN 'productive_stale' THEN 2 WHEN 'nonproductive' THEN 3 ELSE 4 END,
+  CASE WHEN state LIKE 'productive%' THEN -productive_run_rate ELSE 0 END, CASE WHEN state LIKE 'productive%' THEN -entity_yield ELSE 0 END, CASE WHEN state LIKE 'productive%' THEN -success_rate ELSE 0 END,
+  negative_matches > 0, round(bm25, 9) DESC, title_matches DESC, path_matches DESC, domain_matches DESC, provider_index) AS rank FROM s""")
 def ranked_hits(spark: SparkSession, sf: str) -> DataFrame:
     hits = table(spark, sf, "search_hits")
     profiles = memory.source_profiles(*[table(spark, sf, n) for n in _PROFILES], PROJECT, limit=None, as_of=AS_OF)
-    return ranking.rank_hits(hits, _terms(hits), profiles)
+    ranked = ranking.rank_hits(hits, _terms(hits), profiles, _NEGATIVE, _TARGET, _ANCHORS)
+    return ranked.select("query", "provider_index", "domain", "state", "title_matches", "target_matches", "anchor_matches", "negative_matches", "rank")
 
 
 @query("""
@@ -386,10 +414,82 @@ def adaptive_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return store.numbered(table(spark, sf, "domain_discoveries").select("run_id", "id"), "run_id", "id").withColumn("sequence", F.col("sequence").cast("long"))
 
 
-@query("""SELECT domain, count(*) AS visits, any_value(status) AS status FROM page_visits LEFT JOIN (SELECT domain, status FROM domains) d USING (domain) WHERE domain = 'd5.example' GROUP BY domain""".replace("domain = 'd5.example'", "page_visits.domain = 'd5.example'"), "page_visits", "domains")
+_LINEAGE = (*_PROFILES, "runs", "feed_snapshots", "entity_clusters", "entity_cluster_members", "entity_resolution_events", "entity_cluster_merge_events")
+
+
+def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {n: table(spark, sf, n) for n in _LINEAGE}
+
+
+@query(ORACLES["source_profiles"].rsplit("ORDER BY", 1)[0].rstrip() + " WHERE d.domain = 'd5.example'")
 def explain_domain(spark: SparkSession, sf: str) -> DataFrame:
-    one = memory.source_profiles(*[table(spark, sf, n) for n in _PROFILES], PROJECT, limit=None, as_of=AS_OF, domain="d5.example")
-    return one.select("domain", F.col("visit_count").alias("visits"), "status")
+    return lineage.explain_domain(_tables(spark, sf), PROJECT, "d5.example", AS_OF)["profile"]
+
+
+@query("""SELECT 'discoveries' AS part, id, run_id, action AS outcome FROM (SELECT * FROM domain_discoveries WHERE target_domain = 'd5.example' ORDER BY id DESC LIMIT 100)
+UNION ALL SELECT 'page_visits', id, run_id, outcome FROM (SELECT * FROM page_visits WHERE domain = 'd5.example' ORDER BY id DESC LIMIT 100)""", "domain_discoveries", "page_visits")
+def explain_domain_history(spark: SparkSession, sf: str) -> DataFrame:
+    parts = lineage.explain_domain(_tables(spark, sf), PROJECT, "d5.example", AS_OF)
+    rows = lambda name, outcome: parts[name].select(F.lit(name).alias("part"), "id", "run_id", F.col(outcome).alias("outcome"))
+    return rows("discoveries", "action").unionAll(rows("page_visits", "outcome"))
+
+
+@query("""SELECT c.cluster_key, c.entity_type, canonical_title, first_seen, last_seen, count(m.entity_key) AS member_count, count(DISTINCT e.source_domain) AS source_count
+FROM entity_clusters c LEFT JOIN entity_cluster_members m ON m.cluster_key = c.cluster_key LEFT JOIN entities e ON e.entity_key = m.entity_key
+WHERE merged_into_cluster_key = '' GROUP BY c.cluster_key, c.entity_type, canonical_title, first_seen, last_seen""", "entity_clusters", "entity_cluster_members", "entities")
+def cluster_list(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.clusters(_tables(spark, sf), PROJECT)
+
+
+@query("""SELECT m.cluster_key, m.entity_key, match_reason, linked_at, e.title, e.source_url, e.source_domain, e.last_price, e.brand, e.model, e.sku, count(o.id) AS observation_count, min(o.observed_at) AS first_observed, max(o.observed_at) AS last_observed
+FROM entity_cluster_members m JOIN entities e ON e.entity_key = m.entity_key LEFT JOIN observations o ON o.entity_key = m.entity_key GROUP BY m.cluster_key, m.entity_key, match_reason, linked_at, e.title, e.source_url, e.source_domain, e.last_price, e.brand, e.model, e.sku""", "entity_cluster_members", "entities", "observations")
+def cluster_members(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.cluster_members(_tables(spark, sf), PROJECT)
+
+
+@query("""WITH m AS (SELECT m.entity_key, source_domain, (SELECT count(*) FROM observations o WHERE o.entity_key = m.entity_key) AS n FROM entity_cluster_members m JOIN entities USING (entity_key) WHERE cluster_key = 'c7')
+SELECT cluster_key, entity_type, canonical_title, first_seen, last_seen, merged_into_cluster_key, merged_at, CASE WHEN merged_into_cluster_key <> '' THEN 'merged' ELSE 'active' END AS status,
+  (SELECT count(*) FROM m) AS member_count, (SELECT count(DISTINCT nullif(source_domain, '')) FROM m) AS source_count, (SELECT coalesce(sum(n), 0)::BIGINT FROM m) AS observation_count
+FROM entity_clusters WHERE cluster_key = 'c7'""", "entity_clusters", "entity_cluster_members", "entities", "observations")
+def explain_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.explain_cluster(_tables(spark, sf), PROJECT, "c7")["summary"]
+
+
+@query("""SELECT id, run_id, entity_key, decision, reason, selected_cluster_key, compared_entities, resolved_at FROM entity_resolution_events
+WHERE selected_cluster_key = 'c7' OR entity_key IN (SELECT entity_key FROM entity_cluster_members WHERE cluster_key = 'c7')""", "entity_resolution_events", "entity_cluster_members")
+def explain_cluster_events(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.explain_cluster(_tables(spark, sf), PROJECT, "c7")["resolution_events"].drop("project_id")
+
+
+@query("SELECT * EXCLUDE (project_id) FROM entity_resolution_events WHERE run_id = 3 ORDER BY id LIMIT 100", "entity_resolution_events")
+def resolution_event_list(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.resolution_events(table(spark, sf, "entity_resolution_events"), PROJECT, 3).drop("project_id")
+
+
+@query("""SELECT r.id AS event_id, run_id, r.entity_key, decision, reason, selected_cluster_key, compared_entities, resolved_at, title, source_url, source_domain, canonical_title
+FROM entity_resolution_events r JOIN entities e ON e.entity_key = r.entity_key JOIN entity_clusters c ON c.cluster_key = r.selected_cluster_key
+WHERE (decision = 'deferred_ambiguous' OR (decision = 'created_separate' AND reason IN ('identity_conflict', 'target_cluster_identity_conflict'))) AND merged_into_cluster_key = ''
+ORDER BY r.id LIMIT 100""", "entity_resolution_events", "entities", "entity_clusters")
+def review_queue(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.review_queue(_tables(spark, sf), PROJECT)
+
+
+@query("SELECT * EXCLUDE (project_id) FROM entity_cluster_merge_events ORDER BY id LIMIT 100", "entity_cluster_merge_events")
+def cluster_merges(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.merge_events(table(spark, sf, "entity_cluster_merge_events"), PROJECT).drop("project_id")
+
+
+@query("""SELECT o.id, o.entity_key, o.observed_at, o.price, coalesce(o.currency, '') AS currency, coalesce(e.title, '') AS entity_title, coalesce(e.entity_type, '') AS entity_type, coalesce(e.source_url, '') AS entity_url,
+  coalesce(e.source_domain, '') AS entity_domain, coalesce(m.cluster_key, '') AS cluster_key, coalesce(m.match_reason, '') AS match_reason
+FROM observations o LEFT JOIN entities e ON e.entity_key = o.entity_key LEFT JOIN entity_cluster_members m ON m.entity_key = o.entity_key WHERE o.run_id = 4""", "observations", "entities", "entity_cluster_members")
+def trace_observations(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.trace_run(_tables(spark, sf), PROJECT, BEFORE)["observations"]
+
+
+@query("""SELECT 'run' AS part, count(*) AS n FROM runs WHERE id = 4 UNION ALL SELECT 'page_visits', count(*) FROM page_visits WHERE run_id = 4 UNION ALL SELECT 'discoveries', count(*) FROM domain_discoveries WHERE run_id = 4
+UNION ALL SELECT 'entity_resolution_events', count(*) FROM entity_resolution_events WHERE run_id = 4 UNION ALL SELECT 'observations', count(*) FROM observations WHERE run_id = 4 UNION ALL SELECT 'feed_snapshots', count(*) FROM feed_snapshots WHERE run_id = 4""", "runs", "page_visits", "domain_discoveries", "entity_resolution_events", "observations", "feed_snapshots")
+def trace_run(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.part_counts(lineage.trace_run(_tables(spark, sf), PROJECT, BEFORE))
 
 
 @query()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basaltine.functions import text, urls
-from basaltine.operators import changes, evidence, memory, ranking, registry, resolution, store
+from basaltine.operators import changes, evidence, lineage, memory, ranking, registry, resolution, store
 from basaltine.sources import web
 from basaltine.streaming.watch import Hooks, watch
 
@@ -218,3 +218,76 @@ def test_watch(spark, tmp_path):
     assert seen == [(2, 1)] and hooks.failures[0][0] == "change"
     line = spark.read.text(str(tmp_path / "out")).first()[0]
     assert '"change_type":"PRICE_DROP"' in line and line.index('"after"') < line.index('"before"') < line.index('"change_type"')
+
+
+def _cluster_tables(spark):
+    at = datetime(2024, 1, 2)
+    make = spark.createDataFrame
+    return {
+        "entity_clusters": make([("p", "c1", "product", "One", at, at, "", None), ("p", "c2", "product", "Two", at, at, "", None), ("p", "c3", "product", "Gone", at, at, "c1", at)],
+                                "project_id string, cluster_key string, entity_type string, canonical_title string, first_seen timestamp, last_seen timestamp, merged_into_cluster_key string, merged_at timestamp"),
+        "entity_cluster_members": make([("p", "e1", "c1", "gtin_exact", at), ("p", "e2", "c1", "gtin_exact", datetime(2024, 1, 1)), ("p", "e3", "c2", "no_strong_match", at), ("q", "e1", "c2", "other", at)],
+                                       "project_id string, entity_key string, cluster_key string, match_reason string, linked_at timestamp"),
+        "entities": make([("p", "e1", "A", "u1", "a.example", 1.0, "Acme", "X1"), ("p", "e2", "B", "u2", "b.example", None, "Acme", ""), ("p", "e3", "C", "u3", "", 2.0, None, None)],
+                         "project_id string, entity_key string, title string, source_url string, source_domain string, last_price double, brand string, model string"),
+        "observations": make([(1, "p", 1, "e1", at), (2, "p", 2, "e1", at), (3, "q", 1, "e2", at)], "id long, project_id string, run_id long, entity_key string, observed_at timestamp"),
+        "entity_resolution_events": make([(1, "p", 1, "e1", "new_cluster", "no_candidates", "c1", 0, at), (2, "p", 1, "e3", "deferred_ambiguous", "many", "c2", 2, at), (3, "p", 1, "e2", "created_separate", "identity_conflict", "c3", 1, at), (4, "p", 2, "e3", "created_separate", "other", "c2", 1, at), (5, "p", 2, "e9", "linked", "gtin_exact", "c1", 1, at)],
+                                         "id long, project_id string, run_id long, entity_key string, decision string, reason string, selected_cluster_key string, compared_entities long, resolved_at timestamp"),
+        "entity_cluster_merge_events": make([], "id long, project_id string, source_cluster_key string, target_cluster_key string, decision string, reason string, source_member_count long, target_member_count long, merged_member_count long, requested_at timestamp"),
+    }
+
+
+def test_cluster_lineage(spark):
+    tables = _cluster_tables(spark)
+    assert [(r.cluster_key, r.member_count, r.source_count) for r in lineage.clusters(tables, "p").collect()] == [("c1", 2, 2), ("c2", 1, 1)]
+    parts = lineage.explain_cluster(tables, "p", "c1")
+    one = parts["summary"].first()
+    assert (one.status, one.member_count, one.source_count, one.observation_count) == ("active", 2, 2, 2)
+    assert [(r.entity_key, r.observation_count) for r in parts["members"].collect()] == [("e2", 0), ("e1", 2)]
+    assert sorted((r.signal, r.value, r.first.entity_key) for r in parts["identity_signals"].collect()) == [("brand", "Acme", "e2"), ("model", "X1", "e1")]
+    assert [r.id for r in parts["resolution_events"].collect()] == [1, 3, 5]
+    assert lineage.explain_cluster(tables, "p", "none")["summary"].collect() == []
+    # The conflict chose a cluster that was merged since, so it is no longer open.
+    assert [r.event_id for r in lineage.review_queue(tables, "p").collect()] == [2]
+    assert lineage.review_queue(tables, "p", "conflict").collect() == []
+    with pytest.raises(ValueError):
+        lineage.review_queue(tables, "p", "odd")
+    assert [r.id for r in lineage.resolution_events(tables["entity_resolution_events"], "p", 2).collect()] == [4, 5]
+
+
+def test_merge_of_clusters(spark):
+    tables = _cluster_tables(spark)
+    at = datetime(2024, 2, 1)
+    after = lineage.apply_merge(tables, "p", "c2", "c1", ("merged", "explicit_strong_identity_match"), at, 9)
+    assert sorted((r.project_id, r.entity_key, r.cluster_key) for r in after["entity_cluster_members"].collect()) == [("p", "e1", "c1"), ("p", "e2", "c1"), ("p", "e3", "c1"), ("q", "e1", "c2")]
+    known = {r.cluster_key: r for r in after["entity_clusters"].collect()}
+    assert (known["c2"].merged_into_cluster_key, known["c2"].merged_at, known["c1"].last_seen, known["c1"].merged_into_cluster_key) == ("c1", at, at, "")
+    audit = lineage.merge_events(after["entity_cluster_merge_events"], "p").first()
+    assert (audit.decision, audit.source_member_count, audit.target_member_count, audit.merged_member_count) == ("merged", 1, 2, 3)
+    refused = lineage.apply_merge(tables, "p", "c2", "c1", ("rejected", "identity_conflict"), at, 9)
+    assert refused["entity_clusters"] is tables["entity_clusters"] and refused["entity_cluster_merge_events"].first().merged_member_count == 0
+    fresh, seen = lineage.reobserved(spark.createDataFrame([("e1",), ("e7",)], "entity_key string"), tables, "p", at)
+    assert [r.entity_key for r in fresh.collect()] == ["e7"]
+    assert {r.cluster_key: r.last_seen for r in seen.collect()}["c1"] == at
+
+
+def test_stop_reasons(spark):
+    base = {"decided": "", "visited": 3, "attempted": 3, "max_pages": 10, "specific_target": False, "mode": "expedition", "candidates_left": 2, "probe_domains": 0, "max_probe_domains": 2, "probe_pages": 0, "max_probe_pages": 5, "occupied": 1, "max_domains": 4, "over_budget": False}
+    cases = [({}, "search_candidates_unreached", "resource_limited"), ({"decided": "saturation_reached"}, "saturation_reached", "adaptive_stop"), ({"visited": 10}, "max_pages", "resource_limited"), ({"attempted": 10}, "max_page_attempts", "resource_limited"),
+             ({"specific_target": True}, "discovery_exhausted", "specific_target"), ({"candidates_left": 0}, "search_candidates_exhausted", "candidate_pool_exhausted"), ({"max_probe_pages": 0}, "probe_budget_disabled", "resource_limited"),
+             ({"probe_domains": 2}, "probe_domain_budget_exhausted", "resource_limited"), ({"probe_pages": 5}, "probe_page_budget_exhausted", "resource_limited"), ({"mode": "discovery"}, "budget_exhausted", "other"), ({"mode": "discovery", "occupied": 4, "over_budget": True}, "max_domains", "resource_limited")]
+    rows = spark.createDataFrame([(k, *{**base, **change}.values()) for k, (change, _, _) in enumerate(cases)], ["k", *base])
+    reason = lineage.stop_reason({c: F.col(c) for c in base})
+    got = rows.select("k", reason.alias("r"), lineage.coverage_status(reason, F.col("specific_target")).alias("s")).orderBy("k").collect()
+    assert [(r.r, r.s) for r in got] == [(a, b) for _, a, b in cases]
+
+
+def test_hit_ranking_keys(spark):
+    hits = spark.createDataFrame([("red lamp", "http://a.example/x", "lamp", "", 0), ("red lamp", "http://b.example/red/lamp", "red lamp K9", "broken", 1), ("red lamp", "http://lamp.example/", "a lamp", "K9 red", 2)], "query string, url string, title string, snippet string, provider_index int")
+    terms = spark.createDataFrame([("red lamp", "red"), ("red lamp", "lamp")], "query string, term string")
+    got = {r.provider_index: r for r in ranking.match_counts(hits, terms, ["K9 lamp"], ["K9"], ["broken"]).collect()}
+    counts = lambda r: (r.title_matches, r.path_matches, r.domain_matches, r.target_matches, r.anchor_matches, r.negative_matches)
+    assert [counts(got[k]) for k in range(3)] == [(1, 0, 0, 1, 0, 0), (2, 2, 0, 2, 1, 1), (1, 0, 1, 2, 1, 0)]
+    none = spark.createDataFrame([], "domain string, status string, productive_runs long, crawl_runs long, is_stale boolean, productive_run_rate double, entity_yield double, success_rate double")
+    order = ranking.rank_hits(hits, terms, none, ["broken"], ["K9 lamp"], ["K9"]).orderBy("rank")
+    assert [r.provider_index for r in order.collect()] == [2, 1, 0]
