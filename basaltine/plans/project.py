@@ -47,3 +47,18 @@ def load(path: str) -> Project:
 
 def save(project: Project, path: str) -> None:
     Path(path).write_text(json.dumps(asdict(project), indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+
+
+#: Kinds of research; those in RUNNABLE can be run (fixed values).
+TEMPLATES = ("product_market", "price_monitoring", "competitor_research", "service_market", "trend_research")
+PRESETS: dict[str, dict] = {
+    "generic_products": {"project_id": "generic_products", "name": "Product market", "seed_urls": ["https://example.com"], "keywords": ["product", "price", "shop"], "mode": "domain", "max_pages": 40, "max_depth": 4, "max_domains": 1},
+    "price_watch": {"project_id": "price_watch", "name": "Prices of known sources", "research_type": "price_monitoring", "seed_urls": ["https://example.com"], "keywords": ["price"], "mode": "discovery", "max_pages": 60, "max_depth": 3, "max_domains": 5},
+}
+
+
+def preset(name: str) -> Project:
+    """A project as a preset gives it."""
+    if name not in PRESETS:
+        raise KeyError(name)
+    return Project(**PRESETS[name])

@@ -291,3 +291,20 @@ def test_hit_ranking_keys(spark):
     none = spark.createDataFrame([], "domain string, status string, productive_runs long, crawl_runs long, is_stale boolean, productive_run_rate double, entity_yield double, success_rate double")
     order = ranking.rank_hits(hits, terms, none, ["broken"], ["K9 lamp"], ["K9"]).orderBy("rank")
     assert [r.provider_index for r in order.collect()] == [2, 1, 0]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from basaltine import cli
+
+    tables = "/root/testdata/sf0.001"
+    shown = lambda *words: (cli.main([*words], spark), capsys.readouterr().out)
+    common = ("--project", "demo", "--tables", tables, "--derived")
+    assert "product_market: ready" in shown("templates")[1] and "generic_products" in shown("presets")[1]
+    path = str(tmp_path / "p.json")
+    assert shown("create", "--preset", "generic_products", "--output", path)[0] == 0
+    assert "generic_products: ok" in shown("validate", path)[1]
+    extra = {"explain": ("--domain", "d5.example"), "explain-cluster": ("--cluster", "c7"), "diff": ("--run-a", "4", "--run-b", "5"), "trace": ("--run", "4"), "merge-clusters": ("--source", "c1", "--target", "c2")}
+    for name in cli.REPORTS:
+        code, out = shown(name, *common, *extra.get(name, ()))
+        assert code == 0 and out.startswith("# "), name
+    assert '"decision":"rejected"' in shown("merge-clusters", *common, "--source", "c1", "--target", "c1")[1]
