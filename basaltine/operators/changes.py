@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .memory import of_project
 
 # The change types in their order of output.
@@ -129,8 +130,9 @@ def compare_runs(tables: dict[str, DataFrame], project_id: str, before: int, aft
     """All change events from run ``before`` to run ``after``; equal runs are refused."""
     if before == after:
         raise ValueError("a run cannot be compared with itself")
-    snap = lambda r: entity_snapshot(tables["observations"], tables["entity_cluster_members"], project_id, r)
-    states = [domain_states(tables["page_visits"], project_id, r) for r in (before, after)]
+    # Each snapshot feeds five branches; it is written once instead of being made again for each.
+    snap = lambda r: checkpointed(entity_snapshot(tables["observations"], tables["entity_cluster_members"], project_id, r))
+    states = [checkpointed(domain_states(tables["page_visits"], project_id, r)) for r in (before, after)]
     feeds = [of_project(tables["feed_snapshots"], project_id).where(F.col("run_id") == r) for r in (before, after)]
     return entity_events(snap(before), snap(after)).unionByName(domain_events(*states)).unionByName(feed_events(*feeds, states[1]))
 

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.urls import absolute_url, host_key, normal_url, safety
+from ..session import checkpointed
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Signs and codes of currencies.
 CURRENCIES = ("€", "EUR", "USD", "GBP", "CHF", "SEK", "NOK", "DKK", "PLN")
@@ -348,6 +351,52 @@ def feeds(responses: DataFrame, limit: int = 200) -> DataFrame:
     return responses.select("feed_url", "body").mapInPandas(run, ENTRIES)
 
 
+#: What a page's markup may call a feed, and where feeds often are (fixed values).
+FEED_MIME = ("application/rss+xml", "application/atom+xml", "application/feed+json")
+FEED_PATHS = ("/feed", "/rss", "/rss.xml", "/atom.xml", "/feed.xml", "/feed.json")
+
+
+def feed_candidates(page: str) -> list[str]:
+    """Addresses that a page names as its feeds, as written."""
+    out = []
+    for node in tree(page).walk():
+        kind, href = node.attrs.get("type", "").split(";")[0].strip().lower(), node.attrs.get("href", "").strip()
+        named = kind in FEED_MIME or (kind == "application/json" and href.lower().endswith((".json", "/feed")))
+        if node.tag == "link" and href and named and "alternate" in node.attrs.get("rel", "").lower().split():
+            out.append(href)
+    return out
+
+
+def feed_links(pages: DataFrame, probe: bool = False) -> DataFrame:
+    """(url, feed_url, rank): feeds of each page (url, html) on its own host, the likeliest first.
+
+    Only pages that hold 'alternate' reach the parser; with ``probe`` usual
+    places are candidates too.  A feed under the page's path leads, comment feeds
+    come last, equals stay in the order of the page.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(u, k, h) for u, page in zip(batch["url"], batch["html"]) for k, h in enumerate(feed_candidates(page))]
+            yield pd.DataFrame(rows, columns=["url", "place", "href"])
+
+    shape = "url string, place int, href string"
+    found = pages.select("url", "html").where(F.col("html").ilike("%alternate%")).mapInPandas(run, shape)
+    if probe:
+        common = F.array(*[F.lit(p) for p in FEED_PATHS])
+        usual = pages.select("url", F.posexplode(common).alias("place", "href")).select("url", (F.col("place") + (1 << 20)).alias("place"), "href")
+        found = found.unionByName(usual)
+    found = found.withColumn("feed_url", normal_url(absolute_url("url", "href"))).where("feed_url <> ''").where((host_key(F.col("feed_url")) == host_key(F.col("url"))) & (safety(F.col("feed_url"), feed=True) == "ok"))
+    path = lambda c: F.coalesce(F.nullif(F.try_parse_url(c, F.lit("PATH")), F.lit("")), F.lit("/"))
+    here, there = F.lower(F.regexp_replace(path("url"), "/+$", "")), F.lower(path("feed_url"))
+    score = (
+        F.when((here != "") & F.startswith(there, F.concat(here, F.lit("/"))), 50).otherwise(0)
+        + F.when(F.contains(there, F.lit("feed")) | there.rlike(r"\.(rss|atom|xml)$"), 10).otherwise(0)
+        - F.when(F.contains(there, F.lit("/comments/")) | F.contains(there, F.lit("comments/feed")), 100).otherwise(0))
+    once = found.withColumn("score", score).groupBy("url", "feed_url").agg(F.min("place").alias("place"), F.first("score").alias("score"))
+    return once.select("url", "feed_url", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("score"), "place")).alias("rank"))
+
+
 def sitemap_locations(text: str, limit: int = 1000) -> tuple[str, list[str]]:
     """urlset, sitemapindex or invalid, and the addresses in it."""
     try:
@@ -371,6 +420,30 @@ def sitemaps(responses: DataFrame, limit: int = 1000) -> DataFrame:
     return responses.select("sitemap_url", "body").mapInPandas(run, "sitemap_url string, kind string, position int, location string")
 
 
+def site_locations(responses: DataFrame, roots: DataFrame, most: int = 1000, levels: int = 10) -> DataFrame:
+    """Pages that sitemaps lead to, through indexes of indexes: host, location, level, place; at most ``most`` a host.
+
+    ``responses``: sitemap_url, body; ``roots``: sitemap_url.  Each sitemap is
+    read once, level by level, and only addresses of its own host count, so a
+    cycle ends.  Sitemaps below ``levels`` indexes are refused with an error.
+    """
+    known = checkpointed(sitemaps(responses.dropDuplicates(["sitemap_url"]), max(most, 1000)).where(host_key(F.col("location")) == host_key(F.col("sitemap_url"))))
+    front, seen, out = roots.select("sitemap_url").distinct(), roots.select("sitemap_url").distinct(), None
+    for level in range(levels + 1):
+        here = known.join(front, "sitemap_url", "left_semi")
+        pages = here.where("kind = 'urlset'").select(host_key(F.col("location")).alias("host"), "location", F.lit(level).alias("level"), "sitemap_url", "position")
+        out = pages if out is None else out.unionByName(pages)
+        front = checkpointed(here.where("kind = 'sitemapindex'").select(F.col("location").alias("sitemap_url")).distinct().join(seen, "sitemap_url", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    else:
+        raise ValueError(f"sitemaps are nested more than {levels} deep")
+    first = out.groupBy("host", "location").agg(F.min(F.struct("level", "sitemap_url", "position")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy("at", "location"))
+    return first.withColumn("place", place).where(F.col("place") <= most).select("host", "location", "at.level", "place")
+
+
 def new_entries(entries: DataFrame, state: DataFrame) -> DataFrame:
     """Entries that come before the last one seen of their feed; all if that is gone and no time is known."""
     joined = entries.join(state.select("feed_url", "last_entry_id", "last_published"), "feed_url", "left")

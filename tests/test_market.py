@@ -308,3 +308,44 @@ def test_command_line(spark, tmp_path, capsys):
         code, out = shown(name, *common, *extra.get(name, ()))
         assert code == 0 and out.startswith("# "), name
     assert '"decision":"rejected"' in shown("merge-clusters", *common, "--source", "c1", "--target", "c1")[1]
+
+
+def test_entity_and_feed_writes(spark):
+    was, now = datetime(2024, 1, 1), datetime(2024, 2, 1)
+    shape = "project_id string, entity_key string, source_url string, title string, last_price double, currency string, first_seen timestamp, last_seen timestamp"
+    old = spark.createDataFrame([("p", "k1", "u1", "A", 1.0, "EUR", was, was), ("q", "k9", "u2", "B", 9.0, "EUR", was, was)], shape)
+    found = spark.createDataFrame([("s1", "u1", "A", 2.0, "EUR", 1), ("s2", "u2", "B", 3.0, "EUR", 2), ("s3", "u2", "B", 4.0, "USD", 3), ("s1", "u1", "Other", None, None, 4)], "stable_key string, source_url string, title string, last_price double, currency string, arrival long")
+    entities, seen = store.upsert_entities(old, found, "p", 7, now)
+    got = {(r.project_id, r.entity_key): (r.title, r.last_price, r.first_seen, r.last_seen) for r in entities.collect()}
+    assert got == {("p", "k1"): ("A", 2.0, was, now), ("q", "k9"): ("B", 9.0, was, was), ("p", "s2"): ("B", 4.0, now, now), ("p", "s1"): ("Other", None, now, now)}
+    assert sorted((r.entity_key, r.price) for r in seen.where("arrival < 4").collect()) == [("k1", 2.0), ("s2", 3.0), ("s2", 4.0)]
+    feeds = spark.createDataFrame([("p", "f1", "error", was, was)], "project_id string, feed_url string, status string, first_seen timestamp, last_seen timestamp")
+    shots = spark.createDataFrame([("p", 7, "f1", "error", was), ("p", 6, "f1", "error", was)], "project_id string, run_id long, feed_url string, status string, observed_at timestamp")
+    states = spark.createDataFrame([("p", "f1", "active"), ("p", "f2", "active")], "project_id string, feed_url string, status string")
+    feeds, shots = store.save_feeds(feeds, shots, states, 7, now)
+    assert sorted((r.feed_url, r.status, r.first_seen) for r in feeds.collect()) == [("f1", "active", was), ("f2", "active", now)]
+    assert sorted((r.run_id, r.feed_url, r.status) for r in shots.collect()) == [(6, "f1", "error"), (7, "f1", "active"), (7, "f2", "active")]
+
+
+def test_feed_links(spark):
+    html = """<link rel="alternate" type="application/rss+xml" href="/comments/feed"><link rel="alternate stylesheet" type="application/atom+xml; charset=utf-8" href="news.atom">
+      <link rel="alternate" type="application/rss+xml" href="https://other.example/feed"><link rel="alternate" type="text/html" href="/en"><link rel="alternate" type="application/json" href="/shop/feed.json"><link rel="alternate" type="application/rss+xml" href="/comments/feed#x">"""
+    pages = spark.createDataFrame([("https://a.example/shop", html), ("https://b.example/", None)], "url string, html string")
+    got = sorted((r.url[8], r.rank, r.feed_url) for r in web.feed_links(pages).collect())
+    assert got == [("a", 1, "https://a.example/shop/feed.json"), ("a", 2, "https://a.example/news.atom"), ("a", 3, "https://a.example/comments/feed")]
+    probed = [r.feed_url for r in web.feed_links(pages.where("html IS NULL"), probe=True).orderBy("rank").collect()]
+    assert len(probed) == 6 and probed[0] == "https://b.example/feed" and "https://b.example/rss.xml" in probed
+
+
+def test_nested_sitemaps(spark):
+    index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    urls_ = lambda *u: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>"
+    a = "https://a.example/"
+    rows = [(a + "s.xml", index(a + "t.xml", a + "u.xml", "https://b.example/x.xml")), (a + "t.xml", index(a + "s.xml", a + "v.xml")), (a + "u.xml", urls_(a + "1", "https://b.example/9")), (a + "v.xml", urls_(a + "1", a + "2")), (a + "w.xml", urls_(a + "never"))]
+    responses = spark.createDataFrame(rows, "sitemap_url string, body string")
+    roots = spark.createDataFrame([(a + "s.xml",)], "sitemap_url string")
+    got = sorted((r.place, r.location, r.level) for r in web.site_locations(responses, roots).collect())
+    assert got == [(1, a + "1", 1), (2, a + "2", 2)]
+    assert web.site_locations(responses, roots, most=1).count() == 1
+    with pytest.raises(ValueError):
+        web.site_locations(responses, roots, levels=0)
