@@ -27,6 +27,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def sharding_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 at a limit of 64 KiB, at which small tables split too."""
+    return sharding.assign(_table(spark, sf_dir, "documents"), 1 << 16)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
+    "sharding_64k": sharding_64k,
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
@@ -69,7 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op3_sharding": sharding.ORACLE,
+    "op3_sharding": sharding.oracle(),
+    "sharding_64k": sharding.oracle(1 << 16),
     "op7_mixing": mixing.ORACLE,
     "op9_topk": topk.ORACLE,
 }

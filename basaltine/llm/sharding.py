@@ -131,13 +131,15 @@ def sharded(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     return _assigned(rows, limit).select(*documents.columns, "n_bytes", "shard_depth", "shard")
 
 
-ORACLE = f"""
+def oracle(limit: int = LIMIT) -> str:
+    """The same rows in SQL, for tables without repeated ids."""
+    return f"""
 WITH d AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
 p AS (SELECT k, hash >> (60 - k) AS bucket FROM d, range(0, 61) AS r(k)),
 x AS (SELECT k, hash >> (60 - k) AS bucket, sum(n_bytes) AS b, count(*) AS n FROM d, range(0, 61) AS r(k) GROUP BY ALL),
-l AS (SELECT k, bucket FROM x WHERE b <= {LIMIT} OR n = 1),
+l AS (SELECT k, bucket FROM x WHERE b <= {limit} OR n = 1),
 m AS (SELECT d.hash, min(l.k) AS shard_depth FROM (SELECT DISTINCT hash FROM d) d, l WHERE d.hash >> (60 - l.k) = l.bucket GROUP BY ALL)
 SELECT doc_id, n_bytes, shard_depth::INTEGER AS shard_depth,
   substr(lpad(bin(hash), 60, '0'), 1, shard_depth::INTEGER) AS shard
