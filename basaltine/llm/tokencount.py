@@ -15,7 +15,8 @@ single bytes make every text splittable.
 
 Every task makes its own tries, one for each slice of text: no shuffle, and
 memory bounded by the slice.  Pre-tokens longer than ``TRIE`` bytes are scored
-on their own by the same recurrence.
+on their own by the same recurrence, over the pieces that an automaton finds in
+one pass: time linear in the length, memory bounded by the longest piece.
 
 Defined results: a null or empty text has 0 tokens; rows are counted one by
 one, whatever their ids; an empty table gives an empty result.  Only doc_id and
@@ -28,6 +29,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +51,7 @@ class Unigram:
         score = -np.log(np.arange(1, len(pieces) + 1)) - weight
         self.score = {p: float(s) for p, s in zip(pieces, score)}
         self.longest = max(map(len, pieces))
+        self._automaton: ahocorasick.Automaton | None = None
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({len(p) for p in pieces}):
             of = [k for k, p in enumerate(pieces) if len(p) == n]
@@ -71,18 +74,34 @@ class Unigram:
             out[maybe[hit]] = score[at[hit]]
         return out
 
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds all pieces of a text in one pass; made when the first long pre-token comes up."""
+        if self._automaton is None:
+            made = ahocorasick.Automaton()
+            for piece, score in self.score.items():
+                made.add_word(piece.decode("latin-1"), (len(piece), score))
+            made.make_automaton()
+            self._automaton = made
+        return self._automaton
+
     def count(self, word: bytes) -> int:
-        """Tokens of one pre-token, by the recurrence over its bytes."""
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(word) + 1):
-            top = None
-            for start in range(max(0, end - self.longest), end):
-                s = self.score.get(word[start:end])
-                if s is not None:
-                    one = (best[start][0] + s, best[start][1] - 1)
-                    top = one if top is None or one > top else top
-            best.append(top)
-        return -best[-1][1]
+        """Tokens of one pre-token, by the recurrence over the pieces found in it.
+
+        Every byte is a piece, so every place has a score; only the last
+        ``longest`` places are kept.
+        """
+        ring = self.longest + 1
+        totals, tokens = [0.0] * ring, [0] * ring
+        at, best, fewest = 0, 0.0, 0
+        for end, (size, score) in self.automaton().iter(word.decode("latin-1")):
+            if end + 1 != at:
+                totals[at % ring], tokens[at % ring] = best, fewest
+                at, best, fewest = end + 1, _NONE, 0
+            start = (at - size) % ring
+            total, many = totals[start] + score, tokens[start] + 1
+            if total > best or (total == best and many < fewest):
+                best, fewest = total, many
+        return fewest
 
 
 def _row_hashes(rows: np.ndarray) -> np.ndarray:
