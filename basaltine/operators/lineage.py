@@ -145,7 +145,7 @@ def trace_run(tables: Tables, project_id: str, run_id: int) -> dict[str, DataFra
     of_run = lambda name: of_project(tables[name], project_id).where(F.col("run_id") == run_id)
     facts = of_project(tables["entities"], project_id).select("entity_key", F.col("title").alias("entity_title"), "entity_type", F.col("source_url").alias("entity_url"), F.col("source_domain").alias("entity_domain"))
     linked = of_project(tables["entity_cluster_members"], project_id).select("entity_key", "cluster_key", "match_reason")
-    seen = of_run("observations").select("id", "entity_key", "observed_at", "price", "currency").join(facts, "entity_key", "left").join(linked, "entity_key", "left")
+    seen = of_run("observations").select("id", "entity_key", "observed_at", F.col("price").cast("double").alias("price"), "currency").join(facts, "entity_key", "left").join(linked, "entity_key", "left")
     plain = {c: F.coalesce(c, F.lit("")) for c in ("entity_title", "entity_type", "entity_url", "entity_domain", "currency", "cluster_key", "match_reason")}
     parts = {name: of_run(source).orderBy("id") for name, source in (("page_visits", "page_visits"), ("discoveries", "domain_discoveries"), ("entity_resolution_events", "entity_resolution_events"))}
     if "adaptive_decisions" in tables:

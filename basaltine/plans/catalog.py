@@ -479,7 +479,7 @@ def cluster_merges(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.merge_events(table(spark, sf, "entity_cluster_merge_events"), PROJECT).drop("project_id")
 
 
-@query("""SELECT o.id, o.entity_key, o.observed_at, o.price, coalesce(o.currency, '') AS currency, coalesce(e.title, '') AS entity_title, coalesce(e.entity_type, '') AS entity_type, coalesce(e.source_url, '') AS entity_url,
+@query("""SELECT o.id, o.entity_key, o.observed_at, o.price::DOUBLE AS price, coalesce(o.currency, '') AS currency, coalesce(e.title, '') AS entity_title, coalesce(e.entity_type, '') AS entity_type, coalesce(e.source_url, '') AS entity_url,
   coalesce(e.source_domain, '') AS entity_domain, coalesce(m.cluster_key, '') AS cluster_key, coalesce(m.match_reason, '') AS match_reason
 FROM observations o LEFT JOIN entities e ON e.entity_key = o.entity_key LEFT JOIN entity_cluster_members m ON m.entity_key = o.entity_key WHERE o.run_id = 4""", "observations", "entities", "entity_cluster_members")
 def trace_observations(spark: SparkSession, sf: str) -> DataFrame:
