@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from . import decontaminate, licenses, mixing, neardup, pii, sharding, substrings, tokencount, topk, toxicity
+from .textkit import bound_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

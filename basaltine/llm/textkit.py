@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(1 << 16, n if n <= SLICE_BYTES + 1 else 1 << (n - 1).bit_length())
         for k, base in enumerate((_R, _R_INV)):
             steps = np.full(size, base & (2**64 - 1), np.uint64)
             steps[0] = 1
@@ -170,23 +170,28 @@ def shared_dir(spark: SparkSession) -> str:
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ARROW_BYTES.
+
+    Several of them stand in memory at once on both sides of a Python worker,
+    and their buffers stay with the executor afterwards.
+    """
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > ARROW_BYTES:
+        spark.conf.set(_BATCH, ARROW_BYTES)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     This cuts lineage durably: the files outlive any executor, and go with the
-    driver at the latest.  Meanwhile Arrow batches are held to ARROW_BYTES, as
-    several of them stand in memory at once on both sides of a Python worker.
+    driver at the latest.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, ARROW_BYTES)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
