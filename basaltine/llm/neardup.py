@@ -27,7 +27,8 @@ and is linked with nothing (component_id is its doc_id, kept is true); a row
 with a null doc_id is linked with nothing, its component_id is null and it is
 kept; rows that share a doc_id are one document, and a link of one of them is a
 link of all; repeated rows therefore appear as often as they came, with one
-component; an empty table gives an empty result.  Only doc_id and text are
+component (``keep_one`` leaves one row for each different text of a kept id);
+an empty table gives an empty result.  Only doc_id and text are
 read; further columns do not matter.
 """
 
@@ -49,6 +50,9 @@ SHARED = 64
 COUNTERS = 1 << 22
 BLOCK = 64
 FILTER_BITS = 26
+#: A document with more links than HUB_ROWS and than one in HUBS of all links is a hub.
+HUB_ROWS = 256
+HUBS = 1000
 
 
 def sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -250,18 +254,34 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "sa", "ta", "b", "sb", "tb").mapInArrow(_verify, "a long, b long")
 
 
+def _beside(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """(u, v, m): the rows (u, v) with the m of their u in ``least`` (u, m, n), n being u's number of rows.
+
+    Hubs, the u of more than a ``1 / HUBS`` part of all edges, do not meet in
+    one task: there are at most 2 * HUBS of them, so they are broadcast, and
+    their rows stay where they are.
+    """
+    limit = F.lit(max(HUB_ROWS, edges // HUBS))
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("hub")))
+    marked = rows.join(hubs, "u", "left")
+    others = marked.where("hub IS NULL").select("u", "v").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+    return others.unionByName(marked.where("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc, component): the smallest document that each linked one reaches."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    many, before = edges.count(), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = stored(_beside(both, least, many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _beside(large, least, many).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        after = stored(small.distinct(), "edges")
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        discard(large, edges)
+        edges, many = after, now[0]
         if before == now:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("component"))
         before = now
@@ -288,8 +308,9 @@ def groups(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that lead their group, columns unchanged.
 
-    The ids to drop are the smaller side; repeated rows of a kept id are
-    one document, of which one row stays.
+    The ids to drop are the smaller side.  Of the rows of a kept id one stays
+    for each different text: rows of one id that differ in further columns
+    only are repeats, of which the first in order of these columns stays.
     """
     found = stored(groups(documents), "groups")
     gone = found.where(~F.col("kept")).select(F.col("doc_id").cast("long").alias("doc")).distinct()
@@ -301,7 +322,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     out = others.unionByName(single)
     if ids.where("keep").isEmpty():
         return out
-    once = judged.where("__keep").select(*documents.columns).dropDuplicates(["doc_id"])
+    rows = judged.where("__keep").select("doc_id", "text", F.struct(*documents.columns).alias("row"))
+    once = rows.groupBy("doc_id", "text").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return out.unionByName(once)
 
 

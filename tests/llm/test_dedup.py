@@ -1,8 +1,11 @@
 """Substring removal and near-duplicates against brute force."""
 
 import hashlib
+import random
 import re
 
+import pytest
+
 from basaltine.llm import neardup, substrings
 
 
@@ -90,3 +93,33 @@ def test_keep_one(odd):
     got = neardup.keep_one(odd)
     assert got.columns == odd.columns
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted({i for i, c in want.items() if i == c})
+
+
+@pytest.mark.parametrize("hub_rows", [2, 256])
+def test_components_of_hubs(spark, monkeypatch, hub_rows):
+    """Stars of every kind of centre, chains and random links, with and without hubs."""
+    monkeypatch.setattr(neardup, "HUB_ROWS", hub_rows)
+    rnd = random.Random(8)
+    links = [(0, k) for k in range(1, 60)] + [(199, k) for k in range(100, 190)] + [(k, k + 1) for k in range(300, 312)]
+    links += [(rnd.randrange(400, 480), rnd.randrange(400, 480)) for _ in range(60)] + [(5, 5), (1, 0), (59, 300)]
+    root = {i: i for pair in links for i in pair}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.doc: r.component for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {i: got.get(i, i) for i in root} == {i: find(i) for i in root}
+
+
+def test_keep_one_of_shared_ids(spark):
+    """Different texts of one id all stay, one row each; a fixed one of rows that differ elsewhere."""
+    words = [" ".join(f"{x}{k}" for k in range(30)) for x in "abc"]
+    rows = [(1, words[0], "x"), (1, words[0], "b"), (1, words[1], "x"), (2, words[0], "x"), (3, words[2], "z"), (4, "", "x"), (4, "", "x"), (4, None, "x"), (None, words[0], "n")]
+    for parts in (1, 4):
+        got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, words[0], "b"), (1, words[1], "x"), (3, words[2], "z"), (4, "", "x"), (4, None, "x"), (None, words[0], "n")], key=str)
