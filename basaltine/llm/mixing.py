@@ -17,7 +17,8 @@ and a range holds about ``RANGE_ROWS`` rows whatever the size of the source.
 Defined results: a null or empty text has size 0; a null source is a source of
 its own, last in order; a source of size 0 has target 0 and is never taken; an
 empty table gives an empty result; repeated rows are separate documents that
-share an id.  Only the named columns are read, so further columns do not matter.
+share an id, those of one size in order of their texts' md5.  Only the named
+columns are read, so further columns do not matter.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def copies(documents: DataFrame, ranges: int | None = None, whole: bool = False) -> DataFrame:
     """doc_id, size, source, source_size, target and copies of every document, and with ``whole`` the row itself."""
-    row = [F.struct(*documents.columns).alias("row")] if whole else []
+    row = [F.struct(*documents.columns).alias("row"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie")] if whole else []
     rows = documents.select(
         *row, "doc_id", "source", words(F.col("text")).alias("size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"),
         _unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("unit"),
@@ -96,7 +97,7 @@ def copies(documents: DataFrame, ranges: int | None = None, whole: bool = False)
     chosen = at.groupBy("no_source", "src", "source_size", "target", "f").agg(*sums).select("no_source", "src", "source_size", "target", "f", nearest["offset"].alias("offset"))
     start = parts.join(sizes.drop("n_size"), ["no_source", "src", "size"]).join(chosen, ["no_source", "src"]).select(
         *group, (F.col("before_part") + F.col("before_size")).alias("before"), "source_size", "target", "f", "offset")
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("unit", "doc_id"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("unit", "doc_id", *(["tie"] if whole else [])))
     rank = F.col("before") + F.col("place")
     crossed = F.floor(rank * F.col("f") + F.col("offset")) - F.floor((rank - 1) * F.col("f") + F.col("offset"))
     return rows.withColumn("place", place).join(start, group).select("doc_id", "size", "source", "source_size", "target", crossed.cast("long").alias("copies"), *(["row"] if whole else []))
