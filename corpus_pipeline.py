@@ -12,12 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basaltine.llm import decontaminate, mixing, neardup, sharding, toxicity
-from basaltine.llm.textkit import stored
+from basaltine.llm.textkit import bound_batches, stored
 from basaltine.session import ship
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _ready(spark: SparkSession) -> None:
     ship(spark)
+    bound_batches(spark)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the smallest id."""
-    ship(spark)
+    _ready(spark)
     return neardup.keep_one(docs)
 
 
