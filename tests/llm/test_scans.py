@@ -135,16 +135,16 @@ def test_token_counts(odd, none):
 
 
 def _best(vectors, every, k):
-    valid = {}
+    valid = []
     for i, v in vectors:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        w = [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]
-        valid[i] = min(valid.get(i, w), w)
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            valid.append((i, tuple(int(np.floor(1024 * np.float64(np.float32(x)))) for x in v)))
     out = []
-    for q, a in valid.items():
+    for q, a in set(valid):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in valid.items() if i != q)[:k]
+            others = list(valid)
+            others.remove((q, a))
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in others)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -156,14 +156,27 @@ def test_topk(spark, monkeypatch, shard):
     rnd = np.random.default_rng(4)
     vectors = [(i, rnd.normal(size=12).astype(float).tolist()) for i in range(300)]
     vectors += [(1000 + i, [0.0] * 11 + [float(i % 3)]) for i in range(50)] + [(2000 + i, vectors[5][1]) for i in range(30)]
-    vectors += [(3000, None), (3001, [None] + [1.0] * 11), (3002, [float("nan")] * 12), (3003, [float("inf")] * 12), (None, [1.0] * 12), (7, vectors[9][1]), (3100, []), (3200, [1.0, 2.0]), (3300, [1e12] * 12)]
-    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    vectors += [(3000, None), (3001, [None] + [1.0] * 11), (3002, [float("nan")] * 12), (3003, [float("inf")] * 12), (None, [1.0] * 12), (7, vectors[9][1]), (100, vectors[9][1]), (3100, []), (3200, [1.0, 2.0]), (3300, [1e12] * 12)]
+    vectors += [(200, vectors[200][1])] * 15  # copies of one query row
+    frame = spark.createDataFrame([(*x, -1, -2) for x in vectors], "vec_id long, embedding array<float>, score long, rows long").repartition(3)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(frame).collect())
     limit = 2**63 - 1
     assert got == [(q, r, v, max(-limit - 1, min(limit, s))) for q, r, v, s in _best(vectors, 100, 10)]
     assert topk.search(frame.limit(0)).collect() == []
 
 
+def test_topk_oracle_of_shared_ids(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rnd = np.random.default_rng(9)
+    vectors = [(int(i), rnd.integers(-3, 4, 4).astype(float).tolist()) for i in rnd.integers(0, 5, 60) * 50]
+    frame = spark.createDataFrame(vectors + vectors[:20], "vec_id long, embedding array<float>").repartition(3)
+    frame.write.parquet(str(tmp_path / "embeddings"))
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings/*.parquet'")
+        want = base.execute(topk.ORACLE).fetchall()
+    assert sorted(map(tuple, topk.search(frame).collect())) == sorted(want)
+
+
 def test_toxicity(spark, none):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("aeioustrnl") for _ in range(rnd.randint(3, 8)))
