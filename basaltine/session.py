@@ -32,8 +32,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpointed(df):
-    """A frame whose lineage ends in the shared checkpoint folder."""
+    """A frame whose lineage ends in the shared checkpoint folder.
+
+    The folder is the one that spark.checkpoint.dir names.  Where it is unset
+    and all executors are threads of this machine (tests), a new folder of this
+    machine is used; on a cluster its absence is an error.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "basaltine-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="basaltine-checkpoints-"))
     return df.checkpoint()
