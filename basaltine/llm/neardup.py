@@ -14,8 +14,11 @@ shingle).  Its sketch is the ``K`` smallest of them.
 3. In each list every member is compared with the list's first one; members
    that this leaves in different components are then compared with each other,
    in cells of two blocks of documents.
-4. Pairs pass the union-sketch estimate, then the exact test on full sets,
-   100 * intersection >= 75 * union.
+   A list of two has no such pair.
+4. Pairs pass the union-sketch estimate, first on signatures (``SIGNED`` values
+   of 32 bits each), then the exact test on full sets, 100 * intersection >=
+   75 * union.  Unrelated documents share a value by chance, the more of them
+   the larger the table is, so texts move only for pairs whose signatures agree.
 5. Components come from alternating star contractions.
 
 Lists are never gathered: rows sorted by (value, document) are range-dealt, so
@@ -50,6 +53,9 @@ SHARED = 64
 COUNTERS = 1 << 22
 BLOCK = 64
 FILTER_BITS = 26
+#: Two sets of Jaccard similarity 0.75 agree in fewer than AGREE of SIGNED values with a chance under 1e-9.
+SIGNED = 32
+AGREE = 8
 #: A document with more links than HUB_ROWS and than one in HUBS of all links is a hub.
 HUB_ROWS = 256
 HUBS = 1000
@@ -214,6 +220,40 @@ def packed_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc long, size long, text binary").distinct()
 
 
+def signed(reps: DataFrame) -> DataFrame:
+    """(doc, n, sig): the high halves of the SIGNED smallest hashes of each set, sorted and distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [np.unique((np.frombuffer(b, np.uint64)[:SIGNED] >> np.uint64(32)).astype(np.uint32)).tobytes() for b in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n"), pa.array(sigs, pa.binary())], ["doc", "n", "sig"])
+
+    return reps.select("doc", "n", "sketch").mapInArrow(run, "doc long, n long, sig binary")
+
+
+def akin(na: int, a: bytes, nb: int, b: bytes) -> bool:
+    """Whether set sizes and signatures leave it open that two sets are similar."""
+    if 100 * min(na, nb) < PERCENT * max(na, nb):
+        return False
+    both = np.sort(np.concatenate([np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)]))
+    twice = np.concatenate([[False], both[1:] == both[:-1]])
+    ends = np.flatnonzero(~twice)[:SIGNED]
+    return SIGNED * int((twice & (both <= both[ends[-1]])).sum()) >= AGREE * len(ends)
+
+
+def _akin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [akin(*row) for row in zip(*[batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")])]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def akin_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose signatures agree."""
+    side = lambda x: signatures.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_akin, "a long, b long").distinct()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Exact test, after the sizes and the union-sketch estimate allow it."""
     if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
@@ -353,25 +393,34 @@ def similar_pairs(documents: DataFrame, reps: DataFrame) -> DataFrame:
     ``reps`` (stored, with sketches) is deleted once its lists are made.
     """
     stars = star_pairs(listed(reps, rarity(reps)))
+    signatures = stored(signed(reps), "signatures")
     discard(reps)
-    pairs = stored(stars.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    pairs = stored(akin_pairs(stars.select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct(), signatures), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
     texts = stored(packed_texts(documents, ids), "texts")
     first = stored(verified(pairs, texts), "links")
-    second = stored(links_apart(stars, first, texts), "links")
     discard(texts)
+    near = stored(candidates_apart(stars, first, signatures), "candidates")
+    discard(stars, signatures)
+    texts = stored(packed_texts(documents, near.select("doc").distinct()), "texts")
+    second = stored(links_apart(near, texts), "links")
+    discard(texts, near)
     return first.unionByName(second)
 
 
-def links_apart(stars: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between members of one list that the links so far leave in different components.
+def candidates_apart(stars: DataFrame, links: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(b1, b2, doc, component, others): members of one list that the links so far leave in different components.
 
     Members are put into blocks of about ``BLOCK`` by the list head that they
     share most often.  A cell is two blocks that meet in some list; it brings
-    their texts together once, and compares the members of common lists there,
-    so pairs are never rows.
+    their signatures together once, and compares the members of common lists
+    there.  ``others`` are the documents of the cell that agree with ``doc``
+    (each two are named once).  A list of two is left out: its members, one of
+    them the head, have been compared.
     """
     part = components(links)
+    three = stars.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    stars = stars.join(three, "value")
     heads = stars.unionByName(stars.select("value", "head", F.col("head").alias("doc"))).distinct()
     named = heads.join(part, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     apart = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
@@ -384,21 +433,65 @@ def links_apart(stars: DataFrame, links: DataFrame, texts: DataFrame) -> DataFra
     cells = x.join(y, "value").where("b1 <= b2").select("b1", "b2").distinct()
     sides = cells.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
     values = left.groupBy("doc").agg(F.collect_set("value").alias("values"))  # at most K
-    rows = placed.join(values, "doc").join(texts, "doc")
+    rows = placed.join(values, "doc").join(signatures, "doc")
     dealt = sides.join(rows, "block").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
-    return dealt.select("b1", "b2", "block", "doc", "component", "values", "size", "text").mapInArrow(_cells, "a long, b long")
+    return dealt.select("b1", "b2", "block", "doc", "component", "values", "n", "sig").mapInArrow(_near_cells, "b1 long, b2 long, doc long, component long, others array<long>")
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def links_apart(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among the candidates of each cell; texts of a cell come together once, so pairs are never rows."""
+    dealt = near.join(texts, "doc").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    return dealt.select("b1", "b2", "doc", "component", "others", "size", "text").mapInArrow(_cells, "a long, b long")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[list]]]:
+    """Each cell (b1, b2) of sorted rows with the further columns of its rows."""
     key, rows = None, []
+    for batch in batches:
+        for b1, b2, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            if (b1, b2) != key:
+                if rows:
+                    yield key, rows
+                key, rows = (b1, b2), []
+            rows.append(row)
+    if rows:
+        yield key, rows
 
-    def compared() -> Iterator[tuple[int, int]]:
+
+def _near_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["b1", "b2", "doc", "component", "others"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    make = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+    out: list[tuple] = []
+    for key, rows in _by_cell(batches):
+        index: dict[int, list[int]] = {}
+        found: dict[int, tuple[int, set[int]]] = {}
+        for k, (block, doc, component, values, n, sig) in enumerate(rows):
+            met = {o for v in values for o in index.get(v, ())}
+            for v in values:
+                index.setdefault(v, []).append(k)
+            for o in met:
+                if key[0] != key[1] and rows[o][0] == block:
+                    continue  # their own cell compares them
+                if rows[o][2] != component and akin(rows[o][4], rows[o][5], n, sig):
+                    found.setdefault(rows[o][1], (rows[o][2], set()))
+                    found.setdefault(doc, (component, set()))[1].add(rows[o][1])
+        out += [(*key, doc, component, sorted(others)) for doc, (component, others) in found.items()]
+        if len(out) >= 1 << 12:
+            yield make(out)
+            out = []
+    if out:
+        yield make(out)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in _by_cell(batches):
         full: dict[int, np.ndarray] = {}
         root: dict[int, int] = {}
 
         def of(k: int) -> np.ndarray:
             if k not in full:
-                size, blob = rows[k][4], rows[k][5]
+                size, blob = rows[k][3:]
                 full[k] = sets(np.frombuffer(pa.decompress(blob, size, codec="zstd", asbytes=True), np.uint8), np.array([0, size]))[0]
             return full[k]
 
@@ -407,29 +500,15 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = root[c]
             return c
 
-        index: dict[int, list[int]] = {}
-        for k, (block, _, _, values, _, _) in enumerate(rows):
-            others = {o for v in values for o in index.get(v, ())}
-            for v in values:
-                index.setdefault(v, []).append(k)
-            for o in others:
-                if key[0] != key[1] and rows[o][0] == block:
-                    continue  # their own cell compares them
-                x, y = find(rows[o][2]), find(rows[k][2])
+        at: dict[int, list[int]] = {}
+        for k, row in enumerate(rows):
+            at.setdefault(row[0], []).append(k)
+        out = []
+        for k, (doc, component, others, _, _) in enumerate(rows):
+            for o in (o for d in others for o in at[d]):
+                x, y = find(rows[o][1]), find(component)
                 if x != y and similar(of(o), of(k)):
                     root[max(x, y)] = min(x, y)
-                    yield rows[o][1], rows[k][1]
-
-    out: list[tuple[int, int]] = []
-    for batch in batches:
-        for b1, b2, *row in zip(*[batch.column(c).to_pylist() for c in ("b1", "b2", "block", "doc", "component", "values", "size", "text")]):
-            if (b1, b2) != key:
-                out += compared() if rows else ()
-                key, rows = (b1, b2), []
-            rows.append(row)
+                    out.append((rows[o][0], doc))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-            out = []
-    out += compared() if rows else ()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])

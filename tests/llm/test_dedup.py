@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from basaltine.llm import neardup, substrings
@@ -123,3 +124,43 @@ def test_keep_one_of_shared_ids(spark):
     for parts in (1, 4):
         got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).collect()
         assert sorted(map(tuple, got), key=str) == sorted([(1, words[0], "b"), (1, words[1], "x"), (3, words[2], "z"), (4, "", "x"), (4, None, "x"), (None, words[0], "n")], key=str)
+
+
+def test_texts_of_alike_documents_only(spark, monkeypatch):
+    """Documents that share lists by chance are told apart by signatures; texts move for the others alone.
+
+    With one rarity for all values, as in tables so large that their counters
+    are full, every document here shares lists with every other one.
+    """
+    rnd = random.Random(5)
+    prose = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    phrase = prose(24)
+    texts = [prose(90) + phrase + prose(90) for _ in range(30)]
+    half = prose(150)  # both copies are in the lists that a longer document leads, which is like neither
+    texts = [half + prose(150), *texts, texts[4][:20] + ["changed"] + texts[4][21:], half[:70] + ["changed"] + half[71:], half]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    gathered, packed = set(), neardup.packed_texts
+
+    def noted(documents, ids):
+        gathered.update(r.doc for r in ids.select("doc").collect())
+        return packed(documents, ids)
+
+    monkeypatch.setattr(neardup, "rarity", lambda reps: np.zeros(neardup.COUNTERS, np.uint8))
+    monkeypatch.setattr(neardup, "packed_texts", noted)
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == _components(rows)
+    assert {r.doc_id for r in got if not r.kept} == {31, 33}
+    assert {5, 31, 32, 33} <= gathered <= {0, 5, 31, 32, 33}
+
+
+def test_signatures_keep_similar_pairs():
+    """No pair of similarity 0.75 is lost, sets of a few shingles included; unrelated large sets part."""
+    rnd = np.random.default_rng(3)
+    sig = lambda v: np.unique((np.sort(v)[: neardup.SIGNED] >> np.uint64(32)).astype(np.uint32)).tobytes()
+    for common in [3, 6, 9, 12, 24, 30, 33, 60, 96, 150, 600, 3000] * 30:
+        v = rnd.integers(0, 1 << 64, common + common // 3, np.uint64)
+        one = rnd.integers(0, common // 3 + 1)
+        a, b = np.concatenate([v[:common], v[common : common + one]]), np.concatenate([v[:common], v[common + one :]])
+        assert neardup.akin(len(a), sig(a), len(b), sig(b)) and neardup.akin(len(b), sig(b), len(a), sig(a))
+        c = rnd.integers(0, 1 << 64, common, np.uint64)
+        assert not neardup.akin(len(a), sig(a), len(c), sig(c))
