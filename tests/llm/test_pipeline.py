@@ -1,5 +1,9 @@
 """The stages one after the other, each held against its operator's rule."""
 
+import random
+
+import numpy as np
+
 import corpus_pipeline
 from basaltine.llm import decontaminate, mixing, neardup
 
@@ -23,3 +27,23 @@ def test_stages(spark, data):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_near_duplicates_move_texts_of_alike_documents_only(spark, data, monkeypatch):
+    """The second stage, with full counters: documents with one passage in common stay where they are."""
+    rnd = random.Random(6)
+    prose = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    passage = prose(24)
+    texts = [f"{prose(90)} {passage} {prose(90)}" for _ in range(12)]
+    rows = [(i, t, "en") for i, t in enumerate([*texts, texts[7] + " more"])]
+    gathered, packed = set(), neardup.packed_texts
+
+    def noted(documents, ids):
+        gathered.update(r.doc for r in ids.select("doc").collect())
+        return packed(documents, ids)
+
+    monkeypatch.setattr(neardup, "rarity", lambda reps: np.zeros(neardup.COUNTERS, np.uint8))
+    monkeypatch.setattr(neardup, "packed_texts", noted)
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), data)
+    assert sorted(map(tuple, out.collect())) == rows[:12]
+    assert gathered == {7, 12}
