@@ -38,10 +38,11 @@ read; further columns do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import LOWER, discard, mix, shingle_hashes, slices, span_hashes, stored, word_bounds
@@ -61,6 +62,25 @@ HUB_ROWS = 256
 HUBS = 1000
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the action that wrote them ends.
+
+    Else they stay until the driver happens to collect its garbage, and those
+    of all steps may stand on the disks at once.  No step here runs one plan
+    twice: each stores its result, and the next one reads that.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document of a slice."""
     low = LOWER[data]
@@ -329,17 +349,18 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``documents``."""
-    every = sketched(documents)
-    # Sketches are made again for the representatives rather than kept for all.
-    rows = stored(every.drop("sketch"), "fingerprints")
-    one = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc"), "sketch")).alias("r"))
-    sketches = stored(one.select("fa", "fb", "n", "r.doc", "r.sketch"), "representatives")
-    reps = stored(sketches.drop("sketch"), "representatives")
-    links = similar_pairs(documents, sketches)
-    # Rows of one id are one document: their representatives are linked.
-    ids = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "fa", "fb", "n").join(reps.select("fa", "fb", "n", "doc"), ["fa", "fb", "n"])
-    same = ids.where("doc_id <> doc").select(F.col("doc_id").cast("long").alias("a"), F.col("doc").alias("b"))
-    found = components(links.unionByName(same))
+    with released(documents.sparkSession):
+        every = sketched(documents)
+        # Sketches are made again for the representatives rather than kept for all.
+        rows = stored(every.drop("sketch"), "fingerprints")
+        one = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc"), "sketch")).alias("r"))
+        sketches = stored(one.select("fa", "fb", "n", "r.doc", "r.sketch"), "representatives")
+        reps = stored(sketches.drop("sketch"), "representatives")
+        links = similar_pairs(documents, sketches)
+        # Rows of one id are one document: their representatives are linked.
+        ids = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "fa", "fb", "n").join(reps.select("fa", "fb", "n", "doc"), ["fa", "fb", "n"])
+        same = ids.where("doc_id <> doc").select(F.col("doc_id").cast("long").alias("a"), F.col("doc").alias("b"))
+        found = components(links.unionByName(same))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id").cast("long") == F.col("doc"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", F.col("doc_id").cast("long"))).otherwise(F.col("doc_id").cast("long"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -348,28 +369,36 @@ def groups(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that lead their group, columns unchanged.
 
-    The ids to drop are the smaller side.  Of the rows of a kept id one stays
-    for each different text: rows of one id that differ in further columns
-    only are repeats, of which the first in order of these columns stays.
+    The ids to drop are the smaller side, and their rows go where they are: a
+    filter of fixed size finds them, and a second one those that the first lets
+    through by chance, so only rows of these few and of repeated ids move.  Of
+    the rows of a kept id one stays for each different text: rows of one id
+    that differ in further columns only are repeats, of which the first in
+    order of these columns stays.
     """
-    found = stored(groups(documents), "groups")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").cast("long").alias("doc")).distinct()
-    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").cast("long").alias("doc"))
-    ids = stored(gone.withColumn("keep", F.lit(False)).unionByName(again.withColumn("keep", F.lit(True))), "decided")
-    maybe, others = _split(documents, ids)
+    with released(documents.sparkSession):
+        found = stored(groups(documents), "groups")
+        gone = found.where(~F.col("kept")).select(F.col("doc_id").cast("long").alias("doc")).distinct()
+        again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").cast("long").alias("doc"))
+        ids = stored(gone.withColumn("keep", F.lit(False)).unionByName(again.withColumn("keep", F.lit(True))), "decided")
+        decided = bit_filter(ids.select("doc"))
+        chance = _split(found.select("doc_id"), decided)[0].select(F.col("doc_id").cast("long").alias("doc")).distinct().join(ids, "doc", "left_anti")
+        unsettled = bit_filter(stored(chance.unionByName(ids.where("keep").select("doc")), "unsettled"))
+        none_again = ids.where("keep").isEmpty()
+    maybe, others = _split(documents, decided, unsettled)
     judged = maybe.join(ids.select(F.col("doc").alias("__doc"), F.col("keep").alias("__keep")), F.col("doc_id") == F.col("__doc"), "left")
     single = judged.where("__keep IS NULL").select(*documents.columns)
     out = others.unionByName(single)
-    if ids.where("keep").isEmpty():
+    if none_again:
         return out
     rows = judged.where("__keep").select("doc_id", "text", F.struct(*documents.columns).alias("row"))
     once = rows.groupBy("doc_id", "text").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return out.unionByName(once)
 
 
-def _split(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that may be among ``ids``, and all others, by a filter of fixed size; only the former need a join."""
-    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(ids.select("doc")).view(np.uint8))
+def _split(documents: DataFrame, *filters: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ids all ``filters`` let through, and those that the first one stops; only the former need a join."""
+    shared = documents.sparkSession.sparkContext.broadcast([f.view(np.uint8) for f in filters])
     rows = documents.withColumn("__at", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS))))
 
     def side(wanted: bool):
@@ -377,8 +406,8 @@ def _split(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
             for batch in batches:
                 at = batch.column("__at").fill_null(0).to_numpy()
                 none = batch.column("__at").is_null().to_numpy(zero_copy_only=False)
-                hit = ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) & ~none
-                kept = batch.drop_columns(["__at"]).filter(pa.array(hit == wanted))
+                hits = [((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) & ~none for bits in shared.value]
+                kept = batch.drop_columns(["__at"]).filter(pa.array(np.logical_and.reduce(hits) if wanted else ~hits[0]))
                 if kept.num_rows:
                     yield kept
 
