@@ -3,13 +3,17 @@
 Assignment depends on the order of arrival, so it is not a component labelling;
 but only entities that share a strong key can influence each other.  Keys link
 entities in stars, star components are dealt to tasks, and each component is
-folded in order through indexes by key: no pairs are made, however many
+folded in order through indexes by key: no pairs are compared, however many
 entities share a key.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import insort
+from collections.abc import Iterator
+from itertools import chain, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,10 @@ from ..functions.text import gtin, normal_code, normal_text
 from ..session import checkpointed
 
 KINDS = ("gtin_exact", "maker_model_exact", "maker_mpn_exact", "source_sku_exact")
+#: Names of clusters that the lists of a chunk have at most, about, and those of a task; bytes of lists in an Arrow batch.
+CELL, TASK, BATCH = 1 << 22, 1 << 24, 4 << 20
+#: Between the names of a part of a list; stands for more than one trade item number.
+MARK, MANY = "\0", "many"
 
 
 def identities(entities: DataFrame) -> DataFrame:
@@ -76,55 +84,162 @@ def star_components(keys: DataFrame) -> DataFrame:
             return labels
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one component, entity by entity in order of arrival."""
-    index: dict[tuple, dict[str, list]] = {}
-    numbers: dict[str, set] = {}
-    out = []
-    for place, (key, ord_, own, keys) in enumerate(group.sort_values(["ord", "entity_key"])[["entity_key", "ord", "gtin", "keys"]].itertuples(index=False)):
-        keys = [(k["kind"], k["key"]) if isinstance(k, dict) else (k[0], k[1]) for k in (keys if keys is not None else [])]
-        found: dict[str, tuple] = {}
-        for kind, value in keys:
-            for cluster, (any_, bare) in index.get((kind, value), {}).items():
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cluster and decision of each entity; rows come component by component, in order of arrival.
+
+    A decision asks whether a key leads to no open cluster, to one or to several,
+    and whether it leads to one of another trade item number.  So clusters are
+    indexed by key and number, and two of them are looked at for each.  An entity
+    without a number meets all clusters of its keys, and they only become more:
+    two for each key are kept for it.
+    """
+    component = None
+    for batch in batches:
+        out = []
+        columns = (batch.column(c).to_pylist() for c in ("component", "numbered", "entity_key", "gtin", "keys"))
+        for part, numbered, key, own, keys in zip(*columns):
+            if part != component:
+                component, place = part, -1
+                every: dict[str, dict] = {}  # key: cluster: place of the first member
+                bare: dict[str, dict] = {}  # key: number: cluster: place of the first member that a number holder is matched with
+                number: dict[str, str] = {}
+                met: dict[str, set] = {}  # cluster: its keys in bare
+            place += 1
+            found: dict[str, tuple] = {}
+            clash = False
+            for k in keys:
+                if own:
+                    slots = bare.get(k, {})
+                    ways = [islice(slots.get(n, {}).items(), 2) for n in ("", own)]
+                    clash = clash or len(slots) > ("" in slots) + (own in slots)
+                else:
+                    ways = [every.get(k, {}).items()]
+                for cluster, first in chain(*ways):
+                    found[cluster] = min(found.get(cluster, (first, 9)), (first, int(k[0])))
+            if len(found) == 1:
+                cluster, (_, kind) = next(iter(found.items()))
+                verdict, reason = "linked", KINDS[kind]
+            elif found:
+                cluster, verdict, reason = key, "deferred_ambiguous", "ambiguous_multiple_clusters"
+            elif clash:
+                cluster, verdict, reason = key, "created_separate", "target_cluster_identity_conflict"
+            else:
+                cluster, verdict, reason = key, "new_cluster", "no_strong_match"
+            old = number.get(cluster, "")
+            if own and old != own:
+                fresh = number[cluster] = MANY if old else own
+                for k in met.get(cluster, ()):
+                    slots = bare[k]
+                    slots.setdefault(fresh, {})[cluster] = slots[old].pop(cluster)
+                    if not slots[old]:
+                        del slots[old]
+            for k in keys:
+                slots = every.setdefault(k, {})
+                if len(slots) < 2:
+                    slots.setdefault(cluster, place)
                 # A pair that has two trade item numbers is decided by them alone.
-                first = any_ if kind == KINDS[0] or not own else bare
-                if first is not None:
-                    found[cluster] = min(found.get(cluster, (first, 9)), (first, KINDS.index(kind)))
-        clash = {c for c in found if own and numbers.get(c, set()) - {own}}
-        open_ = {c: f for c, f in found.items() if c not in clash}
-        if len(open_) == 1:
-            cluster, (_, kind) = next(iter(open_.items()))
-            verdict, reason = "linked", KINDS[kind]
-        elif open_:
-            cluster, verdict, reason = key, "deferred_ambiguous", "ambiguous_multiple_clusters"
-        elif clash:
-            cluster, verdict, reason = key, "created_separate", "target_cluster_identity_conflict"
-        else:
-            cluster, verdict, reason = key, "new_cluster", "no_strong_match"
-        if own:
-            numbers.setdefault(cluster, set()).add(own)
-        for k in keys:
-            slot = index.setdefault(k, {}).setdefault(cluster, [None, None])
-            slot[0] = place if slot[0] is None else slot[0]
-            if not own and slot[1] is None:
-                slot[1] = place
-        out.append((key, cluster, verdict, reason, ",".join(sorted(open_)) if len(open_) > 1 else "", ",".join(sorted(clash))))
-    return pd.DataFrame(out, columns=["entity_key", "cluster_key", "decision", "reason", "candidates", "conflicts"])
+                if numbered and (not own or k[0] == "0"):
+                    bare.setdefault(k, {}).setdefault(number.get(cluster, ""), {}).setdefault(cluster, place)
+                    met.setdefault(cluster, set()).add(k)
+            out.append((place, cluster, verdict, reason, len(found) > 1 or clash))
+        if out:
+            given = [batch.column(c) for c in ("component", "entity_key", "entity_type", "gtin", "keys")]
+            made = [pa.array(values, kind) for values, kind in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(given + made, names=["component", "entity_key", "entity_type", "gtin", "keys", "place", "cluster_key", "decision", "reason", "listed"])
+
+
+def _list(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
+    """Names of the clusters that each listed entity met at one key; rows come chunk by chunk, entities and what clusters gain at the key in order of arrival."""
+    names = ["component", "place", "entity_key", "cluster_key", "decision", "reason", "candidates", "conflicts"]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 6]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+    chunk, rows, held = None, [], 0
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("k", "chunk", "step", "place", "cluster_key", "number", "since", "many", "component", "gtin", "entity_key", "decision", "reason"))
+        for k, part, step, place, cluster, number, since, many, component, own, key, verdict, reason in zip(*columns):
+            if (k, part) != chunk:
+                chunk, every, bare, numbers = (k, part), [], [], {}
+            if step:
+                if step & 1:
+                    insort(every, cluster)
+                if step & 2:
+                    insort(bare, cluster)
+                    if number is not None:
+                        numbers[cluster] = number, since, many
+                continue
+            clash = {c for c, (n, t, m) in numbers.items() if (t < place and n != own) or (m is not None and m < place)} if own else ()
+            open_ = () if verdict != "deferred_ambiguous" else every if not own else [c for c in bare if c not in clash] if clash else bare
+            lists = [mark.join(x) if x else None for x in (open_, sorted(clash))]
+            rows.append((component, place, key, cluster, verdict, reason, *lists))
+            held += sum(len(x) for x in lists if x)
+            if held > BATCH or len(rows) >= 10_000:
+                yield made(rows)
+                rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
+def _listed(placed: DataFrame) -> DataFrame:
+    """Rows of entities that met several clusters or conflicts, with their names.
+
+    What a cluster gains at a key and who asks there meet in chunks of a key;
+    each chunk has all gains and a share of those who ask, so that no task
+    writes all lists of a key.  Lists of entities of one key are done then; parts
+    of others are put together.
+    """
+    columns = ["entity_key", "cluster_key", "decision", "reason"]
+    by_cluster = placed.where("gtin <> ''").groupBy("cluster_key", "gtin").agg(F.min("place").alias("at")).groupBy("cluster_key").agg(F.sort_array(F.collect_list(F.struct("at", "gtin"))).alias("g"))
+    numbers = by_cluster.select("cluster_key", F.get("g", F.lit(0))["gtin"].alias("number"), F.get("g", F.lit(0))["at"].alias("since"), F.get("g", F.lit(1))["at"].alias("many"))
+    steps = placed.select("component", "place", "gtin", "listed", *columns, F.size("keys").alias("parts"), F.explode("keys").alias("k"))
+    asked = steps.where("listed")
+    gains = steps.groupBy("k", "cluster_key").agg(F.min("place").alias("first"), F.min(F.when((F.col("gtin") == "") | F.col("k").startswith("0"), F.col("place"))).alias("bare"))
+    sizes = gains.groupBy("k").agg(F.count("*").alias("n")).join(asked.groupBy("k").agg(F.count("*").alias("w"), F.count_if(F.col("parts") > 1).alias("shared")), "k")
+    sizes = checkpointed(sizes.withColumn("chunks", F.ceil(F.col("n") * F.col("w") / CELL)))
+    total, shared = (x or 0 for x in sizes.agg(F.sum(F.col("n") * (F.col("w") - F.col("shared")) + F.col("chunks") * F.col("n")), F.sum(F.col("n") * F.col("shared") + F.col("chunks") * F.col("n"))).first())
+    tasks = lambda names, each: min(int(names // each) + 1, 20_000)
+    at = lambda c, step: F.struct(F.col(c).alias("place"), F.lit(step).alias("step"))
+    moments = F.when(F.col("first") == F.col("bare"), F.array(at("first", 3))).when(F.col("bare").isNull(), F.array(at("first", 1))).otherwise(F.array(at("first", 1), at("bare", 2)))
+    gains = gains.join(sizes.select("k", "chunks"), "k").join(numbers, "cluster_key", "left").withColumn("at", F.explode(moments)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    gains = checkpointed(gains.select("k", "chunk", "at.step", "at.place", "cluster_key", "number", "since", "many"))
+    asked = asked.join(sizes.select("k", "chunks"), "k").withColumns({"chunk": F.pmod("place", "chunks"), "step": F.lit(0)}).drop("chunks", "listed")
+    shape = "component string, place long, entity_key string, cluster_key string, decision string, reason string, candidates string, conflicts string"
+
+    def lists(rows: DataFrame, names: int, mark: str) -> DataFrame:
+        both = rows.drop("parts").unionByName(gains, allowMissingColumns=True)
+        return both.repartition(tasks(names, TASK), "k", "chunk").sortWithinPartitions("k", "chunk", "place", "step").mapInArrow(lambda batches: _list(batches, mark), shape)
+
+    alone = lists(asked.where("parts = 1"), total, ",").select(*columns, *[F.coalesce(c, F.lit("")).alias(c) for c in ("candidates", "conflicts")])
+    together = lambda c: F.array_join(F.sort_array(F.array_distinct(F.split(F.concat_ws(MARK, F.collect_list(c)), MARK))), ",").alias(c)
+    parts = lists(asked.where("parts > 1"), shared, MARK).repartition(tasks(shared, CELL), "component", "place")
+    return alone.unionByName(parts.groupBy("component", "place").agg(*[F.first(c).alias(c) for c in columns], together("candidates"), together("conflicts")).drop("component", "place"))
 
 
 def assign_clusters(entities: DataFrame) -> DataFrame:
-    """Cluster of each entity and the decision that put it there."""
-    ids = checkpointed(identities(entities))
-    keys = checkpointed(strong_keys(ids))
-    lists = keys.groupBy("entity_key").agg(F.collect_list(F.struct("kind", "key")).alias("keys"))
-    keyed = ids.select("entity_key", "entity_type", "ord", "gtin").join(lists, "entity_key", "left").join(star_components(keys), "entity_key", "left")
-    folded = keyed.where("component IS NOT NULL").groupBy("component").applyInPandas(
-        lambda g: _fold(g), "entity_key string, cluster_key string, decision string, reason string, candidates string, conflicts string")
-    lone = keyed.where("component IS NULL").select("entity_key", F.col("entity_key").alias("cluster_key"), F.lit("new_cluster").alias("decision"), F.lit("no_strong_match").alias("reason"), F.lit("").alias("candidates"), F.lit("").alias("conflicts"))
+    """Cluster of each entity and the decision that put it there.
+
+    The decisions of a component are made in order, in time and memory that grow
+    with its entities; the names of the clusters that an entity met are listed
+    apart, in many tasks.  The lists have as many names as there are pairs of an
+    ambiguous entity and an earlier cluster of its keys.
+    """
+    ids = checkpointed(identities(entities).drop("title"))
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1
+    lists = strong_keys(ids).groupBy("entity_key").agg(F.sort_array(F.collect_list(F.concat_ws("|", kind.cast("string"), "key"))).alias("keys"))
+    keyed = checkpointed(ids.select("entity_key", "entity_type", "ord", "gtin").join(lists, "entity_key", "left"))
+    # One entity stands for all that have the same keys.
+    sets = checkpointed(keyed.where("keys IS NOT NULL").groupBy("keys").agg(F.min("entity_key").alias("entity_key"), F.max(F.col("gtin") != "").alias("numbered")))
+    parts = sets.join(star_components(sets.select("entity_key", F.lit("").alias("kind"), F.explode("keys").alias("key"))), "entity_key").drop("entity_key")
+    parts = parts.drop("numbered").join(parts.groupBy("component").agg(F.max("numbered").alias("numbered")), "component")
+    ordered = keyed.where("keys IS NOT NULL").join(parts, "keys").repartition("component").sortWithinPartitions("component", "ord", "entity_key", "gtin")
+    placed = checkpointed(ordered.select("component", "numbered", "entity_key", "entity_type", "gtin", "keys").mapInArrow(
+        _fold, "component string, entity_key string, entity_type string, gtin string, keys array<string>, place long, cluster_key string, decision string, reason string, listed boolean"))
+    lone = keyed.where("keys IS NULL").select("entity_key", F.col("entity_key").alias("cluster_key"), F.lit("new_cluster").alias("decision"), F.lit("no_strong_match").alias("reason"))
     # The first entity of each type had nothing to be compared with.
     firsts = ids.groupBy("entity_type").agg(F.min_by("entity_key", F.struct("ord", "entity_key")).alias("entity_key")).select("entity_key", F.lit(True).alias("is_first"))
-    every = folded.unionByName(lone).join(firsts, "entity_key", "left")
-    return every.withColumn("reason", F.when(F.col("is_first") & (F.col("decision") == "new_cluster"), "no_candidates").otherwise(F.col("reason"))).drop("is_first")
+    plain = placed.where("NOT listed").select(lone.columns).unionByName(lone).join(firsts, "entity_key", "left")
+    plain = plain.withColumn("reason", F.when(F.col("is_first") & (F.col("decision") == "new_cluster"), "no_candidates").otherwise(F.col("reason"))).drop("is_first")
+    plain = plain.withColumns({"candidates": F.lit(""), "conflicts": F.lit("")})
+    return plain if placed.where("listed").isEmpty() else plain.unionByName(_listed(placed))
 
 
 def compared_entities(ids: DataFrame) -> DataFrame:

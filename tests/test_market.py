@@ -1,5 +1,6 @@
 """Expected values of the research operators on small fixtures."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -116,6 +117,64 @@ def test_resolution(spark):
     assert [verdict("a", "a"), verdict("a", "zz"), verdict("e", "a"), verdict("f", "a")] == ["same_cluster", "cluster_not_found", "identity_conflict", "no_strong_identity_match"]
 
 
+def _assigned_in_pairs(rows):
+    """Each entity is held against all earlier ones: entity: cluster, decision, reason, candidates, conflicts."""
+    def pair(x, y):
+        if x["gtin"] and y["gtin"]:
+            return "gtin_exact" if x["gtin"] == y["gtin"] else "conflict"
+        maker = x["brand"] and x["brand"] == y["brand"]
+        for name, same in (("maker_model_exact", maker and x["model"] and x["model"] == y["model"]), ("maker_mpn_exact", maker and x["mpn"] and x["mpn"] == y["mpn"]),
+                           ("source_sku_exact", x["sku"] and x["sku"] == y["sku"] and x["source_domain"] == y["source_domain"])):
+            if same:
+                return name
+        return None
+
+    got = {}
+    for n, x in enumerate(rows):
+        match, conflict = {}, set()
+        for y in rows[:n]:
+            if (found := pair(x, y)) == "conflict":
+                conflict.add(got[y["entity_key"]][0])
+            elif found:
+                match.setdefault(got[y["entity_key"]][0], found)
+        key, clash, open_ = x["entity_key"], sorted(set(match) & conflict), sorted(set(match) - conflict)
+        if len(open_) == 1:
+            row = open_[0], "linked", match[open_[0]], ""
+        elif open_:
+            row = key, "deferred_ambiguous", "ambiguous_multiple_clusters", ",".join(open_)
+        else:
+            row = (key, "created_separate", "target_cluster_identity_conflict", "") if clash else (key, "new_cluster", "no_strong_match" if n else "no_candidates", "")
+        got[key] = *row, ",".join(clash)
+    return got
+
+
+_ENTITY = "entity_key string, entity_type string, source_domain string, gtin string, brand string, model string, mpn string, sku string, ord int"
+
+
+@pytest.mark.parametrize("numbered, seed", [(0.0, 1), (0.3, 2), (0.7, 3)])
+def test_resolution_as_in_pairs(spark, monkeypatch, numbered, seed):
+    monkeypatch.setattr(resolution, "CELL", 64, raising=False)
+    dice = random.Random(seed)
+    some = lambda of, n, rate: f"{of}{dice.randrange(n)}" if dice.random() < rate else ""
+    numbers = ["12345670", "96385074", "40170725", "73513537"]
+    rows = [{"entity_key": f"e{dice.random()}", "entity_type": "product", "source_domain": f"d{dice.randrange(3)}", "gtin": dice.choice(numbers) if dice.random() < numbered else "", "brand": some("b", 3, 0.8),
+             "model": some("M", 12, 0.5), "mpn": some("P", 12, 0.3), "sku": some("S", 9, 0.3), "ord": n} for n in range(240)]
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], _ENTITY).repartition(3)
+    got = {r.entity_key: (r.cluster_key, r.decision, r.reason, r.candidates, r.conflicts) for r in resolution.assign_clusters(frame).collect()}
+    assert got == _assigned_in_pairs(rows)
+    assert {r[1] for r in got.values()} >= {"new_cluster", "linked", "deferred_ambiguous"} and any(r[4] for r in got.values()) == (numbered > 0)
+
+
+def test_lists_of_one_key_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "CELL", 1 << 16, raising=False)
+    monkeypatch.setattr(resolution, "TASK", 1 << 16, raising=False)
+    rows = [("a", "product", "d", "", "b", "M", "", "", 0), ("b", "product", "d", "", "", "", "", "S", 1), ("c", "product", "d", "", "b", "M", "", "S", 2)]
+    rows += [(f"e{n:04}", "product", "d", "", "b", "M", "", "", n) for n in range(3, 1000)]
+    made = resolution.assign_clusters(spark.createDataFrame(rows, _ENTITY)).withColumn("task", F.spark_partition_id()).where("decision = 'deferred_ambiguous'").collect()
+    assert len(made) == 998 and len({r.task for r in made if r.entity_key != "c"}) > 3
+    assert {r.entity_key: r.candidates for r in made}["e0999"] == ",".join(["a", "c", *(f"e{n:04}" for n in range(3, 999))])
+
+
 def test_target_gate(spark):
     frame = spark.createDataFrame([("Bambu P1S Combo",), ("Bambu P2S Combo 3D",), ("BAMBU LAB",), ("P1S 3D printeris",)], "t string")
     got = [(r.target_status, r.target_reason) for r in resolution.target_gate(frame, F.col("t"), ["P1S", "Combo"], ["P1S"]).collect()]
