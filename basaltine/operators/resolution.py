@@ -232,7 +232,7 @@ def assign_clusters(entities: DataFrame) -> DataFrame:
     parts = parts.drop("numbered").join(parts.groupBy("component").agg(F.max("numbered").alias("numbered")), "component")
     ordered = keyed.where("keys IS NOT NULL").join(parts, "keys").repartition("component").sortWithinPartitions("component", "ord", "entity_key", "gtin")
     placed = checkpointed(ordered.select("component", "numbered", "entity_key", "entity_type", "gtin", "keys").mapInArrow(
-        _fold, "component string, entity_key string, entity_type string, gtin string, keys array<string>, place long, cluster_key string, decision string, reason string, listed boolean"))
+        _fold, "component string, entity_key string, entity_type string, gtin string, keys array<string>, place long, cluster_key string, decision string, reason string, listed boolean").repartition("component", "place"))
     lone = keyed.where("keys IS NULL").select("entity_key", F.col("entity_key").alias("cluster_key"), F.lit("new_cluster").alias("decision"), F.lit("no_strong_match").alias("reason"))
     # The first entity of each type had nothing to be compared with.
     firsts = ids.groupBy("entity_type").agg(F.min_by("entity_key", F.struct("ord", "entity_key")).alias("entity_key")).select("entity_key", F.lit(True).alias("is_first"))
